@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from tidemark.llm import op4, op8
+from tidemark.llm import op4, op8, op9
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (op4, op8):
+for module in (op4, op8, op9):
     QUERIES[module.NAME] = module.query
     if module.ORACLE:
         ORACLES[module.NAME] = module.ORACLE
