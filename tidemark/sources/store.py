@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,7 +140,7 @@ def migrate_embeddings(rows: DataFrame) -> DataFrame:
 
 def export_before(events: DataFrame, before: str) -> DataFrame:
     """Events created before an instant (text, with an offset), in order."""
-    if not (before.endswith("Z") or before[-6:-5] in "+-"):
+    if not re.search(r"T.*(Z|[+-]\d{2}:?\d{2})$", before):
         raise ValueError("the instant needs an offset")
     return events.filter(F.col("created_at") < before).orderBy("created_at", "id")
 
