@@ -55,15 +55,16 @@ class Intent:
 
 
 MONTHS = {name: i for i, name in enumerate("января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split(), 1)}
-_CUE = re.compile(r"по\s+состоянию\s+на|на\s+дату|as\s+of|--as-of|каким[аи]?\s+был[аи]?\s+на|что\s+было\s+на")
-_PAST = re.compile(r"--history|--all|(?:^|\s)(?:истори[яию]|раньше|в\s+прошлом|за\s+вс[её]\s+время)(?:\s|$)|(?:^|\s)(?:прежд[еян]|менял)|\b(?:history|historical|previously|formerly)\b")
+_CUE = re.compile(r"as\s+of|--as-of|на\s+дату|что\s+было\s+на|по\s+состоянию\s+на|каким(?:а|и)?\s+был(?:и|а)?\s+на")
+_PAST = re.compile(r"--history|--all|(?:^|\s)(?:за\s+вс[её]\s+время|в\s+прошлом|раньше|истори[яию])(?:\s|$)|(?:^|\s)(?:прежд[еян]|менял)|\b(?:history|historical|previously|formerly)\b")
 _NOW = re.compile(r"--current|(?:^|\s)(?:сейчас|теперь|на\s+сегодня)(?:\s|$)|(?:^|\s)(?:текущ|актуальн)|\b(?:current|currently|now)\b")
-_DATE = r"(?:\d{4}-\d{2}-\d{2}(?:t\S+)?|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}\s+[^\W\d_]+\s+\d{4})"
+_D = "[0-9]"
+_DATE = rf"(?:{_D}{{1,2}}\s+[^\W\d_]+\s+{_D}{{4}}|{_D}{{1,2}}\.{_D}{{1,2}}\.{_D}{{4}}|{_D}{{4}}-{_D}{{2}}-{_D}{{2}}(?:t\S+)?)"
 _TAILS = (
-    re.compile(r"\s+--(?:history|all|current)\s*$", re.I),
+    re.compile(r"\s+--(?:current|all|history)\s*$", re.I),
     re.compile(rf"\s+--as-of\s+{_DATE}\s*$", re.I),
-    re.compile(rf"\s+(?:по\s+состоянию\s+на|на\s+дату|as\s+of)\s+{_DATE}\s*$", re.I),
-    re.compile(r"\s+(?:сейчас|теперь|на\s+сегодня|раньше|в\s+прошлом|за\s+вс[её]\s+время|история)\s*$", re.I),
+    re.compile(rf"\s+(?:as\s+of|на\s+дату|по\s+состоянию\s+на)\s+{_DATE}\s*$", re.I),
+    re.compile(r"\s+(?:история|раньше|теперь|сейчас|за\s+вс[её]\s+время|в\s+прошлом|на\s+сегодня)\s*$", re.I),
 )
 
 
@@ -77,16 +78,16 @@ def _end_of_day(year: int, month: int, day: int) -> str | None:
 def _as_of(text: str) -> str | None:
     if not _CUE.search(text):
         return None
-    if m := re.search(r"\b(\d{4}-\d{2}-\d{2})t(\d{2}:\d{2})(:\d{2})?(\.\d+)?z?\b", text):
+    if m := re.search(rf"\b({_D}{{4}}-{_D}{{2}}-{_D}{{2}})t({_D}{{2}}:{_D}{{2}})(:{_D}{{2}})?(\.{_D}+)?z?\b", text):
         try:
             at = datetime.fromisoformat(f"{m[1]}T{m[2]}{m[3] or ':00'}").replace(tzinfo=timezone.utc)
         except ValueError:
             return None
         at += timedelta(milliseconds=int(f"{(m[4] or '.0')[1:]:0<3}"[:3]))
         return at.strftime("%Y-%m-%dT%H:%M:%S.") + f"{at.microsecond // 1000:03d}Z"
-    if m := re.search(r"\b(\d{4})-(\d{2})-(\d{2})\b", text):
+    if m := re.search(rf"\b({_D}{{4}})-({_D}{{2}})-({_D}{{2}})\b", text):
         return _end_of_day(int(m[1]), int(m[2]), int(m[3]))
-    if m := re.search(r"\b(\d{1,2})\.(\d{1,2})\.(\d{4})\b", text):
+    if m := re.search(rf"\b({_D}{{1,2}})\.({_D}{{1,2}})\.({_D}{{4}})\b", text):
         return _end_of_day(int(m[3]), int(m[2]), int(m[1]))
     if m := re.search(rf"\b(\d{{1,2}})\s+({'|'.join(MONTHS)})\s+(\d{{4}})\b", text):
         return _end_of_day(int(m[3]), MONTHS[m[2]], int(m[1]))

@@ -35,9 +35,9 @@ def _python_redact(text: str) -> str:
     from tidemark.functions.text import ASSIGNMENT, FIELD, SECRETS
 
     for kind, pattern in SECRETS:
-        text = re.sub(pattern, f"[REDACTED:{kind}]", text)
-    text = re.sub(FIELD.replace("(?!(?-i:\\[REDACTED:))", "(?!\\[REDACTED:)"), r"\1[REDACTED:secret-field]\2", text)
-    return re.sub(ASSIGNMENT, r"\1[REDACTED:secret-assignment]", text)
+        text = re.sub(pattern, f"[REDACTED:{kind}]", text, flags=re.ASCII)
+    text = re.sub(FIELD.replace("(?!(?-i:\\[REDACTED:))", "(?!\\[REDACTED:)"), r"\1[REDACTED:secret-field]\2", text, flags=re.ASCII)
+    return re.sub(ASSIGNMENT, r"\1[REDACTED:secret-assignment]", text, flags=re.ASCII)
 
 
 def sanitized(value: object, depth: int = 0) -> object:

@@ -13,17 +13,17 @@ B = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 #: (kind, pattern) in the order in which they apply.
 SECRETS = (
-    ("api-key", rf"{B}sk-(?:or-v1-)?[A-Za-z0-9_-]{{20,}}{B}"),
-    ("api-key", rf"{B}sk_[A-Za-z0-9_-]{{20,}}{B}"),
-    ("google-key", rf"{B}AIza[A-Za-z0-9_-]{{25,}}{B}"),
+    ("api-key", rf"{B}sk-(?:or-v1-)?[\w-]{{20,}}{B}"),
+    ("api-key", rf"{B}sk_[\w-]{{20,}}{B}"),
+    ("google-key", rf"{B}AIza[\w-]{{25,}}{B}"),
     ("jwt", rf"{B}eyJ[\w-]{{10,}}\.[\w-]{{10,}}\.[\w-]{{10,}}{B}"),
     ("bot-token", rf"{B}[0-9]{{7,}}:[\w-]{{25,}}{B}"),
-    ("bearer-token", rf"(?i){B}bearer\s+[A-Za-z0-9._~+/=-]{{20,}}{B}"),
+    ("bearer-token", rf"(?i){B}bearer\s+[\w.~+/=-]{{20,}}{B}"),
     ("telegram-api-hash", rf"(?is){B}(?:tg_)?api_hash{B}.{{0,256}}?{B}[a-f0-9]{{32}}{B}"),
-    ("private-key", r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("private-key", r"(?s)-{5}BEGIN [A-Z ]*PRIVATE KEY-{5}.*?-{5}END [A-Z ]*PRIVATE KEY-{5}"),
 )
-FIELD = r'(?i)("(?:api_?key|secret|token|accessToken|refreshToken|authorization)"\s*:\s*")(?!(?-i:\[REDACTED:))[^"\r\n]{8,}(")'
-ASSIGNMENT = rf"{B}([A-Z0-9_]*(?:API_KEY|TOKEN|SECRET|PASSWORD)[A-Z0-9_]*\s*=\s*)(?!\[REDACTED:)[^\s\"'`]{{8,}}"
+FIELD = r'(?i)("(?:(?:access|refresh)?token|secret|api_?key|authorization)"\s*:\s*")(?!(?-i:\[REDACTED:))[^"\r\n]{8,}(")'
+ASSIGNMENT = rf"{B}([0-9A-Z_]*(?:PASSWORD|SECRET|TOKEN|API_KEY)[0-9A-Z_]*\s*=\s*)(?!\[REDACTED:)[^\s\"'`]{{8,}}"
 
 
 def redact(text: Column) -> Column:
@@ -77,7 +77,7 @@ def query_phrases(text: str) -> list[list[str]]:
     return out
 
 
-STOP_WORDS = ("and", "are", "for", "from", "that", "the", "this", "with", "без", "для", "или", "как", "при", "что", "это")
+STOP_WORDS = tuple("with this the that from for are and это что при как или для без".split())
 
 
 def structural_tokens(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.instants import proximity
-from tidemark.functions.text import redact, structural_tokens, token_similarity
+from tidemark.functions.text import STOP_WORDS, redact, structural_tokens, token_similarity
 from tidemark.operators import capture, lifecycle, objectives
 from tidemark.operators.stats import store_stats as stats_of
 from tidemark.plans.facts import ISO
@@ -178,7 +178,7 @@ def stream_capture(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (event_identity, capture_dedupe, capture_collisions, capture_normalised, turn_capture_counts, supersession_edges, cancellation_edges, current_events, superseded_flags, lifecycle_filter, pending_events, projections_marked, unscoped_events, embeddable_events, ledger_listing, export_before, store_stats, redact_text, objective_registry, text_similarity, temporal_proximity, stream_capture)}
 
-STOP = "'and','are','for','from','that','the','this','with','без','для','или','как','при','что','это'"
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 ORACLES = {
     "event_identity": f"WITH {JOURNAL} SELECT seq, id, 'content:' || content_sha256 AS memory_key FROM journal",
     "stream_capture": f"WITH {JOURNAL} SELECT seq, id FROM journal",

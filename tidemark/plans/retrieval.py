@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import FOLD_FROM, FOLD_TO, index_tokens, lexical_score, query_terms
+from tidemark.functions.text import FOLD_FROM, FOLD_TO, STOP_WORDS, lexical_score, query_terms
 from tidemark.operators import pack, search
 from tidemark.operators.capture import mark_served
 from tidemark.runtime import table
@@ -136,7 +136,7 @@ CHANNELS = f"""{BULK}, {_bm25('bulk', EVENT_TEXT, PHRASES)},
  fused AS (SELECT best.memory_key, best.id, best.created_at, best.content, best.con, rank_score, channels FROM best JOIN agg USING (memory_key))"""
 EVENTS = f"""ev AS (SELECT event_id AS id, CASE WHEN event_id % 11 = 0 THEN 'fact_conflict' WHEN event_id % 13 = 0 THEN 'fact_retraction' ELSE 'fact' END AS event_type, 'user:' || user_id AS session_id, event_type AS source, {ISO.format('ts')} AS created_at, ts,
   event_type || ' item ' || (event_id % 50) AS content, event_type || ' item ' || (event_id % 50) || ' ' || (event_id % 200) AS memory_key, CASE WHEN event_id % 3 = 0 THEN 'o' || (event_id % 40) END AS objective_id FROM events)"""
-STOP = "'and','are','for','from','that','the','this','with'"
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{3,}}')), lambda x: x NOT IN (" + STOP + "))"
 ORACLES = {
     "fts_tokens": "SELECT item_id, array_to_string(list_slice(list_transform(list_filter(list_transform(t, lambda x, i: struct_pack(x := x, i := i)), lambda s: list_position(t, s.x) = s.i), lambda s: s.x), 1, 16), ' ') AS terms FROM (SELECT item_id, regexp_extract_all(lower(trim(text)), '[\\p{L}\\p{N}_]{2,}') AS t FROM benchmark)",
