@@ -9,9 +9,9 @@
    similarity follows from the number of texts (``tries_for``).
 4. Candidates within a Hamming distance, and of lengths that allow the similarity, are verified by the exact Jaccard
    similarity of their shingle sets. Verified links give components. First each leaf is held against its next one in
-   one trie; then, over all tries, only pairs of different components are left: of these the nearest pair of each two
-   components, then all others. So a group of very many copies gives about one pair per text, not all pairs, and no
-   candidate between different classes goes unverified.
+   ``FIRST_TRIES`` tries. Then, over all tries, only pairs of different components are left: on each climb a text takes
+   the nearest of each other component. Of these the nearest pair of each two components is verified, then all others
+   that are still between components. So a group of very many copies gives a few pairs per text, not all pairs.
 
 Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A text of 1 to 4 words is one
 shingle. Defined results: a null or empty text, or one without words, is a class of its own; rows that share a doc_id
@@ -39,6 +39,9 @@ BITS = 128
 FLIP = np.uint64(1 << 63)
 #: Ids to verify are broadcast up to so many (8 bytes each); beyond that they are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+FIRST_TRIES = 4
+KEPT_WORDS = 150_000
+PAIRS_AT_ONCE = 128
 
 _word_hashes: dict[str, int] = {}
 _multipliers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -57,7 +60,7 @@ def shingle_hashes(words: list[str]) -> np.ndarray:
     get = _word_hashes.get
     found = list(map(get, words))
     if None in found:
-        if len(_word_hashes) > 400_000:
+        if len(_word_hashes) > KEPT_WORDS:
             _word_hashes.clear()
         for i, h in enumerate(found):
             if h is None:
@@ -145,6 +148,18 @@ def leaves(texts: DataFrame, tries: int, partitions: int) -> DataFrame:
     return grown.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
+def _nearest(pairs: np.ndarray) -> np.ndarray:
+    """Of each text's pairs with a component the nearest; pairs: a, b, ca, cb, d. A pair stays if it is that for either side."""
+    keep = np.zeros(len(pairs), bool)
+    for text, other in ((0, 3), (1, 2)):
+        order = np.lexsort((pairs[:, 4], pairs[:, other], pairs[:, text]))
+        ordered = pairs[order]
+        first = np.ones(len(pairs), bool)
+        first[1:] = (ordered[1:, text] != ordered[:-1, text]) | (ordered[1:, other] != ordered[:-1, other])
+        keep[order[first]] = True
+    return pairs[keep]
+
+
 def candidates(forest: DataFrame, reach: int, distance: int, similarity: float) -> DataFrame:
     """a, b, ca, cb, d: pairs of texts of different components within the distance, seen on the climb from their leaves."""
     schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "ca", "cb", "d")])
@@ -169,7 +184,7 @@ def candidates(forest: DataFrame, reach: int, distance: int, similarity: float)
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     found.append(np.stack((rep[i], rep[j], c[i], c[j], near[at]), 1))
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
+                pairs = _nearest(np.unique(np.concatenate(found), axis=0))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(5)], schema=schema)
             tail = [x[-reach:] for x in (trie, rep, s1, s2, size, c)]
 
@@ -181,7 +196,7 @@ def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, PAIRS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAIRS_AT_ONCE)):
             good, last, kept = [], None, None
             for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "ta", "tb")), strict=True):
                 if last != b:
@@ -223,8 +238,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
         return texts.join(labels, texts["rep"] == labels["v"], "left").select("key", "rep", "s1", "s2", "shingles", F.coalesce("c", "rep").alias("c"))
 
     labels = None
-    # The next leaf in one trie.
-    pairs = written(candidates(leaves(with_components(None), 1, partitions), 1, distance, similarity), "pairs")
+    # The next leaf.
+    pairs = written(candidates(leaves(with_components(None), FIRST_TRIES, partitions), 1, distance, similarity).distinct(), "pairs")
     links = links.unionByName(written(verified(pairs, _texts_of(docs, pairs, text), similarity), "verified"))
     labels = written(components(links), "labels")
     # All tries, between components only.
