@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.runtime import written
+
 LABELLED_ROWS = 10_000
 PRECISION = 0.95
 SUPPORT = 3
@@ -192,8 +194,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     chosen = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("quality")).filter("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = statistics(given).filter("NOT base_failed").select(*FEATURES, (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prunes"), "doc_id")
-    taken = sorted(rows.collect(), key=lambda r: (r["doc_id"], *r[: len(FEATURES)]))[:most]
+    # Written, so that the statistics are of these texts alone; a filter on them would be pushed below the join.
+    rows = statistics(written(given, "labelled")).select(*FEATURES, (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prunes"), "doc_id", "base_failed")
+    taken = sorted((r for r in rows.collect() if not r["base_failed"]), key=lambda r: (r["doc_id"], *r[: len(FEATURES)]))[:most]
     return cover([tuple(r)[: len(FEATURES) + 2] for r in taken])
 
 
