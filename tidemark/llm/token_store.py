@@ -1,21 +1,20 @@
 """Token ids in a content-addressed store.
 
 Each document's id stream (its ids and an end id) is cut into chunks where a rolling hash over the last 16 ids has its low
-bits zero, so equal passages give equal chunks wherever they stand. A chunk's name is the SHA-256 of its bytes. The store
+bits zero, so equal passages give equal chunks wherever they stand. A chunk's name is the SHA-256 of its ids' bytes. The store
 is a folder with
 
-``chunks/``     Parquet of unique chunks: name, ids (little-endian, 16 or 32 bits), written once each
+``chunks/``     Parquet of unique chunks: name, ids (little-endian, 16 or 32 bits, zstd), written once each
 ``recipes/``    Parquet of documents, sorted by doc_id over all files: doc_id, start, n_tokens, the names of its chunks as
                 one binary, and the Merkle root over them
 ``manifest``    one row: format, width, counts, and the Merkle root over the roots of all documents of each file
 
 Tokenising happens once: a first job writes recipes and the chunks that are new within a task; a second keeps one of each
 name. Only names and bytes of distinct chunks of a task are shuffled, so a text with very many copies costs no more than
-others. Reading joins recipes with chunks, verifies each chunk's name and each document's root, and returns the ids.
+others. Reading joins recipes with chunks, and ``ids_bytes`` verifies each chunk's name and each document's root.
 
-Encoding: the tokenizers library's model is called per distinct piece, and results are kept per space-separated word in a
-dictionary of bounded size in each worker; the pieces are those of the byte-level pre-tokenizer. ``encode_whole`` is the
-plain call, for comparison.
+Encoding: results of the tokenizers library are kept per space-separated word in a dictionary of bounded size in each
+worker (``WordEncoder``). ``encode_whole`` is the plain call, for comparison.
 
 Defined results: a null or empty text has the end id only; a null doc_id comes first; rows that share a doc_id follow each
 other in the order of their digests; an empty table gives a store without rows. Extra columns are ignored.
@@ -25,19 +24,23 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import os
 import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import IRREGULAR_SPACE
 from tidemark.runtime import dropped, fresh_path, ship, written
 
 WINDOW = 16
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+TEXTS_AT_ONCE = 512
 
 
 def gear_table(vocabulary: int) -> np.ndarray:
@@ -94,44 +97,63 @@ class WordEncoder:
     """Encodes texts to the bytes of their ids (u32, little-endian) as the tokenizers library does.
 
     A space between two characters that are no white space always begins a piece of the byte-level pattern. So words
-    between such spaces are encoded apart and kept. A text with other white space beside a space is cut by the pattern.
+    between such spaces can be encoded apart, and are kept. The words of a batch of texts that aren't known yet go to the
+    library as one text; as each token stands for as many bytes as it has signs, its ids are dealt back to the words.
+    A text with other white space beside a space goes to the library whole.
     """
 
-    IRREGULAR = re.compile(r"\s \s?| \s|^ | $")
+    OTHER_SPACE = re.compile(r"[^\S \n]")
 
     def __init__(self, path: str, most: int = CACHE_WORDS):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.pre = ByteLevel(add_prefix_space=False, use_regex=True)
-        self.whole = ByteLevel(add_prefix_space=False, use_regex=False)
+        size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.most = most
         self.words: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> bytes:
-        """The ids of a text, piece by piece of the library's pre-tokenizer, by the library's model."""
-        model = self.tokenizer.model
-        return np.array([t.id for piece, _ in self.pre.pre_tokenize_str(text) for t in model.tokenize(piece)], "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.IRREGULAR.search(text):
-            return self.pieces(text)
-        first, *rest = text.split(" ")
-        get = self.words.get
-        parts = list(map(get, rest))
-        if None in parts:
-            if len(self.words) > self.most:
-                self.words.clear()
-            for i, part in enumerate(parts):
-                if part is None:
-                    if (found := get(rest[i])) is None:
-                        found = self.words[rest[i]] = self.pieces(" " + rest[i])
-                    parts[i] = found
-        return self.pieces(first) + b"".join(parts)
+    def irregular(self, text: str) -> bool:
+        if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
+            return True
+        return bool(self.OTHER_SPACE.search(text)) and bool(IRREGULAR_SPACE.search(text))
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            ids = self.plain([" " + " ".join(some)])[0]
+            ends = np.cumsum(np.fromiter((len(w.encode()) + 1 for w in some), np.int64, len(some)))
+            have = np.cumsum(self.token_bytes[ids])
+            cuts = np.searchsorted(have, ends)
+            if not np.array_equal(have[cuts], ends):
+                raise ValueError("a token runs over a space")
+            data, start = ids.tobytes(), 0
+            for w, stop in zip(some, ((cuts + 1) * 4).tolist(), strict=True):
+                self.words[w] = data[start:stop]
+                start = stop
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        whole = [i for i, t in enumerate(texts) if t and self.irregular(t)]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(whole, self.plain([texts[i] for i in whole]), strict=True):
+            out[i] = ids.tobytes()
+        skip = set(whole)
+        parts = {i: t.split(" ") for i, t in enumerate(texts) if t and i not in skip}
+        every = set().union(*(p[1:] for p in parts.values()))
+        new = every.difference(self.words)
+        if len(self.words) + len(new) > self.most and self.words:
+            self.words.clear()
+            new = every
+        self._learn(sorted(new))
+        first = self.plain([p[0] for p in parts.values()])
+        get = self.words.__getitem__
+        for (i, p), head in zip(parts.items(), first, strict=True):
+            out[i] = head.tobytes() + b"".join(map(get, p[1:]))
+        return out
 
 
 def encode_whole(path: str, text: str) -> list[int]:
@@ -144,6 +166,7 @@ def encode_whole(path: str, text: str) -> list[int]:
 
 @functools.lru_cache(2)
 def _encoder(path: str) -> WordEncoder:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
     return WordEncoder(path)
 
 
@@ -168,9 +191,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         gear, end, seen = _gear(vocabulary), np.array([end_id], "<u4").tobytes(), set()
         rows: list[tuple] = []
         held = 0
-        for batch in batches:
-            for doc_id, t in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.frombuffer(encoder.encode(t.as_py() or "") + end, "<u4")
+        zipper = zstandard.ZstdCompressor(level=1)
+        for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
+            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), encoder.encode_many([t or "" for t in batch.column("text").to_pylist()]), strict=True):
+                ids = np.frombuffer(encoded + end, "<u4")
                 packed = ids.astype("<u2") if width == 2 else ids
                 names, start = [], 0
                 for stop in cut(ids, gear):
@@ -181,6 +205,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
                         if len(seen) >= 500_000:
                             seen.clear()
                         seen.add(name)
+                        data = zipper.compress(data)
                         held += len(data)
                         rows.append((1, None, None, None, None, name, data))
                 held += 32 * len(names)
@@ -229,26 +254,30 @@ def _vocabulary(path: str) -> int:
 
 
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, chunks (array of binary, in order, names and root verified) and width, from the files alone."""
+    """doc_id, start, n_tokens, names, root, chunks (array of binary, in order) and width, from the files alone."""
     width = spark.read.parquet(f"{folder}/manifest").first()["width"]
     recipes = spark.read.parquet(f"{folder}/recipes").select("part", "doc_id", "start", "n_tokens", "names", "root")
     chunks = spark.read.parquet(f"{folder}/chunks")
     count = F.floor(F.octet_length("names") / 32).cast("int")
     places = recipes.select("start", F.posexplode(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("names"), i * 32 + 1, F.lit(32)))).alias("at", "name"))
     found = places.join(chunks, "name", "left")
-    valid = F.when(F.unhex(F.sha2("ids", 256)) == F.col("name"), F.col("ids")).otherwise(F.raise_error(F.lit("a chunk is missing or doesn't match its name")))
-    by_document = found.select("start", "at", valid.alias("ids")).groupBy("start").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("chunks"))
+    by_document = found.groupBy("start").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"]).alias("chunks"))
     return recipes.join(by_document, "start").select("doc_id", "start", "n_tokens", "names", "root", "chunks", F.lit(width).alias("width"))
 
 
-def ids_bytes(chunks: list[bytes], width: int) -> bytes:
-    """The ids of a document as u32, little-endian."""
+def ids_bytes(row: dict) -> bytes:
+    """The ids of a document as u32, little-endian, after its chunks' names, its root and its length are verified."""
+    names = [row["names"][i : i + 32] for i in range(0, len(row["names"]), 32)]
+    unzip = zstandard.ZstdDecompressor()
+    chunks = [unzip.decompress(c) if c is not None else b"" for c in row["chunks"]]
     data = b"".join(chunks)
-    return np.frombuffer(data, "<u2").astype("<u4").tobytes() if width == 2 else data
+    if [hashlib.sha256(c).digest() for c in chunks] != names or merkle(names) != row["root"] or len(data) != row["width"] * row["n_tokens"]:
+        raise ValueError(f"document {row['doc_id']} doesn't match its names or root")
+    return np.frombuffer(data, "<u2").astype("<u4").tobytes() if row["width"] == 2 else data
 
 
 def checked_crc(read: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the crc32 of the ids, after the Merkle root and the length are verified."""
+    """doc_id, start, n_tokens and the crc32 of the verified ids."""
     ship(read.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -256,10 +285,7 @@ def checked_crc(read: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for x in batch.to_pylist():
-                names = [x["names"][i : i + 32] for i in range(0, len(x["names"]), 32)]
-                data = ids_bytes(x["chunks"], x["width"])
-                if merkle(names) != x["root"] or len(data) != 4 * x["n_tokens"]:
-                    raise ValueError(f"document {x['doc_id']} doesn't match its root")
+                data = ids_bytes(x)
                 rows.append({"doc_id": x["doc_id"], "start": x["start"], "n_tokens": x["n_tokens"], "ids_crc32": zlib.crc32(data)})
             yield pa.RecordBatch.from_pylist(rows, schema)
 

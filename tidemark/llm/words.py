@@ -26,3 +26,8 @@ def words_of(text: str | None) -> list[str]:
     if text.isascii():
         return WORD.findall(text.lower())
     return [w.lower() if w.isascii() else w.translate(ASCII_LOWER) for w in ANY_CASE_WORD.findall(text)]
+
+
+#: White space beside a space, or a space at an end. Elsewhere a space always begins a piece of byte-level patterns, as
+#: no alternative holds a space after its first character, but for runs of white space.
+IRREGULAR_SPACE = re.compile(r"\s \s?| \s|^ | $")
