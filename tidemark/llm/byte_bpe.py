@@ -1,15 +1,14 @@
-"""Byte-level BPE with Spark's higher-order functions.
+"""Byte-level BPE: distinct words are folded with Spark's higher-order functions.
 
-A text is cut by the tokenizer's pattern. A piece that is a token itself is looked up; any other piece becomes an array
+A text is cut into words by the tokenizer's pattern. A word that is a token itself has that id. Any other becomes an array
 of its bytes, over which ``aggregate`` folds the ranked merges: at each step the adjacent pair of the lowest rank, the
 leftmost of equals, is joined. Ranks come from a literal, an array of small maps that is indexed by hash.
 
-The distinct words that occur in most documents are folded once, and then looked up in a literal dictionary of at most
-``dictionary_words`` words. Words that are too rare for it are folded where they stand. So memory is bounded, no text is
-shuffled, and the result doesn't depend on what the dictionary holds.
-
-Folding takes time with the square of a piece's bytes. Texts with a run of more than ``LONG_RUN`` letters, digits, signs
-or spaces therefore go through a pandas UDF, which does the same merges with a heap.
+The fold takes about 250 microseconds for a word, far too long for each word where it stands. So the words of the whole
+corpus are counted, and the distinct words that occur most are folded once, into a dictionary of at most
+``dictionary_words`` words of at most ``WORD_BYTES`` bytes. That bounds what is broadcast. An Arrow function then writes the
+ids of each text from the dictionary; words that are too rare or too long for it get the same merges there with a heap,
+in n log n steps. No text is shuffled, and the result doesn't depend on what the dictionary holds.
 
 Bytes are held as strings of code points 0 to 255. Decoding looks every id up in an array of such pieces, joins them and
 encodes the whole as Latin-1, which gives the bytes.
@@ -21,20 +20,25 @@ each; an empty table gives no rows; columns other than the text are kept.
 from __future__ import annotations
 
 import base64
-import functools
 import heapq
 import json
+import uuid
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.llm.words import IRREGULAR_SPACE
 from tidemark.runtime import ship, written
 
 SPACE, NO_SPACE = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
 NONE = 2**31 - 1
-LONG_RUN = 1000
+WORD_BYTES = 64
+RARE_WORDS = 200_000
+TEXTS_AT_ONCE = 256
 RESULT = "ids_text"
 
 
@@ -131,18 +135,18 @@ class ByteBPE:
         text = _let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""))
         return F.encode(text, "ISO-8859-1")
 
-    def _has_long_run(self, text: Column) -> Column:
-        return text.rlike(rf"{NO_SPACE}{{{LONG_RUN}}}|{SPACE}{{{LONG_RUN}}}")
-
     # -- tables
 
     def dictionary(self, docs: DataFrame, text: str, most: int) -> dict[str, str]:
-        """The words outside the vocabulary that most documents have, folded: at most so many, by whole ranges of counts."""
+        """The words outside the vocabulary that occur most, folded: at most so many, by whole ranges of counts.
+
+        Words between spaces are counted first, as the pattern cuts at nearly all spaces; their distinct ones are cut.
+        """
         table, mask = _bucketed(self.words, "string")
-        whole = docs.filter(~self._has_long_run(F.col(text))).select(F.col(text).alias("t"))
-        unknown = _let(table, lambda t: F.filter(self.split(F.col("t")), lambda w: _found(t, mask, w).isNull()))
-        counts = whole.select(F.explode(F.array_distinct(unknown)).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        counts = written(counts.filter("n > 1").select("w", F.floor(F.log2("n") * 8).cast("int").alias("level")), "bpe-words")
+        spaced = docs.select(F.explode(F.split(F.col(text), " ")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        unknown = _let(table, lambda t: F.filter(self.split(F.concat(F.lit(" "), F.col("s"))), lambda w: (F.octet_length(w) <= WORD_BYTES) & _found(t, mask, w).isNull()))
+        counts = spaced.select(F.explode(unknown).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
+        counts = written(counts.select("w", F.floor(F.log2("n") * 8).cast("int").alias("level")), "bpe-words")
         levels = sorted(((r["level"], r["k"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
         total, lowest = 0, None
         for level, k in levels:
@@ -151,28 +155,29 @@ class ByteBPE:
             lowest = level
         if lowest is None:
             return {}
-        rows = counts.filter(F.col("level") >= lowest).select("w", self.fold(F.col("w")).alias("ids")).collect()
-        return {r["w"]: r["ids"] for r in rows}
+        chosen = counts.filter(F.col("level") >= lowest).select("w").repartition(max(1, min(most // 2048, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+        return {r["w"]: r["ids"] for r in chosen.select("w", self.fold(F.col("w")).alias("ids")).collect()}
 
     def encode(self, docs: DataFrame, text: str = "text", dictionary_words: int = 65_536) -> DataFrame:
         """docs with ids_text, the decimal ids joined by commas."""
+        spark = docs.sparkSession
+        ship(spark)
         base = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-        kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in (RESULT, "__t")]
-        known = self.words | self.dictionary(base, "__t", dictionary_words)
-        words, mask = _bucketed(known, "string")
-        tables = F.struct(words.alias("words"), self.rank_table.alias("ranks"))
-        ids = _let(tables, lambda t: F.array_join(F.transform(self.split(F.col("__t")), lambda w: F.coalesce(_found(t["words"], mask, w), self._fold(w, t["ranks"]))), ","))
-        ship(docs.sparkSession)
-        ranks, pattern = self.ranks, self.pattern
+        kept = [c for c in docs.columns if c.lower() not in (RESULT, "__t")]
+        given = base.select(*[F.col(f"`{c}`") for c in kept], "__t")
+        shared = spark.sparkContext.broadcast((self.pattern, self.ranks, self.words | self.dictionary(base, "__t", dictionary_words)))
+        tag = uuid.uuid4().hex
 
-        @F.pandas_udf("string")
-        def by_heap(texts: pd.Series) -> pd.Series:
-            return texts.map(lambda t: ",".join(map(str, encode_by_heap(t, ranks, pattern))))
+        def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            encode = _encoder(tag, shared).encode
+            for whole in batches:
+                for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                    batch = whole.slice(at, TEXTS_AT_ONCE)
+                    ids = pa.array([encode(t) for t in batch.column("__t").to_pylist()], pa.string())
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), ids], names=[*kept, RESULT])
 
-        long = self._has_long_run(F.col("__t"))
-        short_rows = base.filter(~long).select(*kept, ids.alias(RESULT))
-        long_rows = base.filter(long).select(*kept, by_heap("__t").alias(RESULT))
-        return short_rows.unionByName(long_rows)
+        schema = T.StructType([given.schema[c] for c in kept] + [T.StructField(RESULT, T.StringType())])
+        return given.mapInArrow(ids_of, schema)
 
 
 def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -207,12 +212,85 @@ def merge_by_heap(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-@functools.lru_cache(4)
-def _compiled(pattern: str):
-    import regex
-
-    return regex.compile(pattern)
+def pair_table(ranks: dict[bytes, int]) -> list[int]:
+    """The ranks of all pairs of bytes."""
+    return [ranks.get(bytes((a, b)), NONE) for a in range(256) for b in range(256)]
 
 
-def encode_by_heap(text: str, ranks: dict[bytes, int], pattern: str) -> list[int]:
-    return [i for piece in _compiled(pattern).findall(text) for i in merge_by_heap(piece.encode(), ranks)]
+def merge(piece: bytes, ranks: dict[bytes, int], pairs_of_bytes: list[int]) -> list[int]:
+    """The same merges for one piece: by lists where it is short, else with a heap."""
+    if piece in ranks:
+        return [ranks[piece]]
+    n = len(piece)
+    if n > WORD_BYTES:
+        return merge_by_heap(piece, ranks)
+    get = ranks.get
+    ends = list(range(n + 1))
+    pairs = [pairs_of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]
+    while pairs and (lowest := min(pairs)) != NONE:
+        i = pairs.index(lowest)
+        del ends[i + 1], pairs[i]
+        if i < len(pairs):
+            pairs[i] = get(piece[ends[i] : ends[i + 2]], NONE)
+        if i:
+            pairs[i - 1] = get(piece[ends[i - 1] : ends[i + 1]], NONE)
+    return [ranks[piece[a:b]] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+class TextEncoder:
+    """The ids of texts, comma-joined: by the dictionary, and by merging where it has no such word."""
+
+    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, str]):
+        import regex
+
+        self.cut, self.ranks, self.known = regex.compile(pattern).findall, ranks, known
+        self.pairs = pair_table(ranks)
+        # A space and plain letters are one word of the pattern; so is a mark after them.
+        self.lettered = self.cut(" abc, de\u00e9.") == [" abc", ",", " de\u00e9", "."]
+        self.spaced = {w[1:]: ids for w, ids in known.items() if w[0] == " "}
+        self.rare: dict[str, str] = {}
+
+    def pieces(self, text: str) -> str:
+        return ",".join(map(self.word, self.cut(text)))
+
+    def word(self, word: str) -> str:
+        return self.known.get(word) or ",".join(map(str, merge(word.encode(), self.ranks, self.pairs)))
+
+    def spaced_word(self, word: str) -> str:
+        """The ids of a space and a word without white space at its ends."""
+        if self.lettered and max(word) < "\u0250":
+            if word.isalpha():
+                return self.word(f" {word}")
+            if word[-1] in ".,;" and word[:-1].isalpha():
+                return f"{self.word(f' {word[:-1]}')},{self.word(word[-1])}"
+        return self.pieces(f" {word}")
+
+    def encode(self, text: str) -> str:
+        if not text or IRREGULAR_SPACE.search(text):
+            return self.pieces(text)
+        first, *rest = text.split(" ")
+        found = list(map(self.spaced.get, rest))
+        if None in found:
+            rare = self.rare
+            for i, ids in enumerate(found):
+                if ids is None:
+                    word = rest[i]
+                    if (ids := rare.get(word)) is None:
+                        ids = self.spaced_word(word)
+                        if len(word) <= WORD_BYTES:
+                            if len(rare) >= RARE_WORDS:
+                                rare.clear()
+                            rare[word] = ids
+                    found[i] = ids
+        return ",".join((self.pieces(first), *found))
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def _encoder(tag: str, shared) -> TextEncoder:
+    """One encoder for each worker, kept over tasks."""
+    if tag not in _encoders:
+        _encoders.clear()
+        _encoders[tag] = TextEncoder(*shared.value)
+    return _encoders[tag]
