@@ -10,8 +10,7 @@ is a folder with
 ``manifest``    one row: format, width, counts, and the Merkle root over the roots of all documents of each file
 
 Tokenising happens once: a first job writes recipes and the chunks that are new within a task; a second keeps one of each
-name. Only names and bytes of distinct chunks of a task are shuffled, so a text with very many copies costs no more than
-others. Reading joins recipes with chunks, and ``ids_bytes`` verifies each chunk's name and each document's root.
+name. Only the names of distinct chunks of a task are shuffled, so a text with very many copies costs no more than others. Reading joins recipes with chunks, and ``ids_bytes`` verifies each chunk's name and each document's root.
 
 Encoding: results of the tokenizers library are kept per space-separated word in a dictionary of bounded size in each
 worker (``WordEncoder``). ``encode_whole`` is the plain call, for comparison.
@@ -41,6 +40,8 @@ from tidemark.runtime import dropped, fresh_path, ship, written
 WINDOW = 16
 CACHE_WORDS = 800_000
 TEXTS_AT_ONCE = 512
+#: Names that several tasks wrote are broadcast up to so many (about 50 bytes each); beyond that, chunks are shuffled to them.
+BROADCAST_NAMES = 500_000
 
 
 def gear_table(vocabulary: int) -> np.ndarray:
@@ -175,8 +176,8 @@ def _gear(vocabulary: int) -> np.ndarray:
     return gear_table(vocabulary)
 
 
-STAGED = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("root", pa.binary()), ("name", pa.binary()), ("ids", pa.binary())])
-STAGED_SQL = "kind tinyint, doc_id long, n_tokens long, names binary, root binary, name binary, ids binary"
+STAGED = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("root", pa.binary()), ("name", pa.binary()), ("ids", pa.binary()), ("at", pa.int64())])
+STAGED_SQL = "kind tinyint, doc_id long, n_tokens long, names binary, root binary, name binary, ids binary, at long"
 
 
 def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, text: str = "text", files: int | None = None) -> str:
@@ -191,6 +192,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         gear, end, seen = _gear(vocabulary), np.array([end_id], "<u4").tobytes(), set()
         rows: list[tuple] = []
         held = 0
+        at_row = int.from_bytes(os.urandom(5), "big") << 23  # rows of a task follow; two tasks share a number with odds of 1 in 2**40
         zipper = zstandard.ZstdCompressor(level=1)
         for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
             for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), encoder.encode_many([t or "" for t in batch.column("text").to_pylist()]), strict=True):
@@ -207,9 +209,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
                         seen.add(name)
                         data = zipper.compress(data)
                         held += len(data)
-                        rows.append((1, None, None, None, None, name, data))
+                        at_row += 1
+                        rows.append((1, None, None, None, None, name, data, at_row))
                 held += 32 * len(names)
-                rows.append((0, doc_id, len(ids), b"".join(names), merkle(names), None, None))
+                rows.append((0, doc_id, len(ids), b"".join(names), merkle(names), None, None, None))
                 if held > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
                     rows, held = [], 0
@@ -223,9 +226,12 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
     def part(kind: int, schema: str) -> DataFrame:
         return spark.read.schema(schema).option("basePath", staged).parquet(staged).filter(F.col("kind") == kind).drop("kind")
 
-    full = "doc_id long, n_tokens long, names binary, root binary, name binary, ids binary, kind int"
-    chunks = part(1, full).select("name", "ids")
-    chunks.groupBy("name").agg(F.first("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{folder}/chunks")
+    full = "doc_id long, n_tokens long, names binary, root binary, name binary, ids binary, at long, kind int"
+    chunks = part(1, full).select("name", "ids", "at")
+    # Only names are grouped; of a name that several tasks wrote, the row of the least number stays.
+    several = written(chunks.groupBy("name").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "chunk-names")
+    several = F.broadcast(several) if several.count() <= BROADCAST_NAMES else several
+    chunks.join(several, "name", "left").filter("first IS NULL OR first = at").select("name", "ids").write.option("compression", "zstd").parquet(f"{folder}/chunks")
     recipes = part(0, full).select("doc_id", "n_tokens", "names", "root")
     _write_recipes(recipes, folder, files)
     dropped(spark, staged)
