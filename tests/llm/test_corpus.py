@@ -133,6 +133,26 @@ def test_near_duplicates_of_a_large_group(spark):
     assert all(found[d] == d for d, _ in rows if d >= 2000)
 
 
+@pytest.mark.parametrize("few", [0, 20_000])
+def test_near_duplicates_by_a_link_that_is_not_the_nearest(spark, monkeypatch, few):
+    """Two components whose one link is farther in bits than each of its texts' other, false candidates."""
+    rng = random.Random(13)
+    words = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    a = words(104)
+    other_a = words(2) + a[2:]
+    c = a[:93] + words(11)
+    rows = list(enumerate(map(" ".join, (a, other_a, c, words(2) + c[2:]))))
+    assert set(brute_classes(rows)[1]) == {(0, 1), (0, 2), (2, 3)}
+    monkeypatch.setattr(simhash_forest, "FEW_PAIRS", few, raising=False)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        found = simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert {r.class_id for r in found} == {0}
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_rows):
     extra = odd_rows.unionByName(odd_rows.filter("doc_id = 7").withColumn("doc_id", F.lit(9).cast("long")))
     found = collections.defaultdict(set)

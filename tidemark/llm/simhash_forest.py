@@ -9,9 +9,10 @@
    similarity follows from the number of texts (``tries_for``).
 4. Candidates within a Hamming distance, and of lengths that allow the similarity, are verified by the exact Jaccard
    similarity of their shingle sets. Verified links give components. First each leaf is held against its next one in
-   ``FIRST_TRIES`` tries. Then, over all tries, only pairs of different components are left: on each climb a text takes
-   the nearest of each other component. Of these the nearest pair of each two components is verified, then all others
-   that are still between components. So a group of very many copies gives a few pairs per text, not all pairs.
+   ``FIRST_TRIES`` tries. Then, over all tries, only pairs of different components are left. These are verified in rounds:
+   the nearest pairs of each text, then, of the pairs that are still between components, more of each text's nearest, until
+   none is left. So a group of very many copies gives a few pairs per text, and no candidate between different classes goes
+   unverified.
 
 Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A text of 1 to 4 words is one
 shingle. Defined results: a null or empty text, or one without words, is a class of its own; rows that share a doc_id
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -42,6 +43,8 @@ BROADCAST_IDS = 4_000_000
 FIRST_TRIES = 4
 KEPT_WORDS = 150_000
 PAIRS_AT_ONCE = 128
+#: A round verifies this many times as many pairs of a text as the round before; so few pairs are verified in one round.
+WIDER, FEW_PAIRS = 8, 20_000
 
 _word_hashes: dict[str, int] = {}
 _multipliers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -148,16 +151,10 @@ def leaves(texts: DataFrame, tries: int, partitions: int) -> DataFrame:
     return grown.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
 
 
-def _nearest(pairs: np.ndarray) -> np.ndarray:
-    """Of each text's pairs with a component the nearest; pairs: a, b, ca, cb, d. A pair stays if it is that for either side."""
-    keep = np.zeros(len(pairs), bool)
-    for text, other in ((0, 3), (1, 2)):
-        order = np.lexsort((pairs[:, 4], pairs[:, other], pairs[:, text]))
-        ordered = pairs[order]
-        first = np.ones(len(pairs), bool)
-        first[1:] = (ordered[1:, text] != ordered[:-1, text]) | (ordered[1:, other] != ordered[:-1, other])
-        keep[order[first]] = True
-    return pairs[keep]
+def nearest(pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs that are among the ``width`` nearest of either of their texts."""
+    place = lambda text: F.row_number().over(Window.partitionBy(text).orderBy("d", "a", "b"))
+    return pairs.select("*", place("a").alias("of_a"), place("b").alias("of_b")).filter(F.least("of_a", "of_b") <= width).drop("of_a", "of_b")
 
 
 def candidates(forest: DataFrame, reach: int, distance: int, similarity: float) -> DataFrame:
@@ -184,7 +181,7 @@ def candidates(forest: DataFrame, reach: int, distance: int, similarity: float)
                     i, j = np.where(swap, j, i), np.where(swap, i, j)
                     found.append(np.stack((rep[i], rep[j], c[i], c[j], near[at]), 1))
             if found:
-                pairs = _nearest(np.unique(np.concatenate(found), axis=0))
+                pairs = np.unique(np.concatenate(found), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(5)], schema=schema)
             tail = [x[-reach:] for x in (trie, rep, s1, s2, size, c)]
 
@@ -242,20 +239,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     pairs = written(candidates(leaves(with_components(None), FIRST_TRIES, partitions), 1, distance, similarity).distinct(), "pairs")
     links = links.unionByName(written(verified(pairs, _texts_of(docs, pairs, text), similarity), "verified"))
     labels = written(components(links), "labels")
-    # All tries, between components only.
-    pairs = written(candidates(leaves(with_components(labels), tries, partitions), reach, distance, similarity).distinct(), "pairs")
-    wanted = written(_texts_of(docs, pairs, text), "texts")
-    pair = [F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")]
-    nearest = pairs.groupBy(*pair).agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-    first = written(verified(nearest, wanted, similarity), "verified")
-    links = links.unionByName(first)
-    labels = written(components(links), "labels")
-    # What is still between components, but for the pairs just held against each other.
-    still = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    still = still.join(labels.select(F.col("v").alias("a"), F.col("c").alias("x")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("y")), "b", "left")
-    still = written(still.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b"), "pairs")
-    links = links.unionByName(written(verified(still, wanted, similarity), "verified"))
-    labels = written(components(links), "labels")
+    # All tries, between components only. Every pair is verified, or inside a component by the time its round comes.
+    left = written(candidates(leaves(with_components(labels), tries, partitions), reach, distance, similarity).select("a", "b", "d").distinct(), "pairs")
+    wanted, width = written(_texts_of(docs, left, text), "texts"), 1
+    while (n := left.count()) > 0:
+        now = left if n <= FEW_PAIRS else written(nearest(left, width), "pairs")
+        found = written(verified(now, wanted, similarity), "verified")
+        if found.limit(1).count():
+            links = links.unionByName(found)
+            labels = written(components(links), "labels")
+        if n <= FEW_PAIRS:
+            break
+        still = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
+        still = still.join(labels.select(F.col("v").alias("a"), F.col("c").alias("x")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("y")), "b", "left")
+        left, width = written(still.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "d"), "pairs"), width * WIDER
     classes = with_components(labels).select("key", F.col("c").alias("class_id"))
     keyed = rows.select("doc_id", "key")
     out = keyed.join(classes, "key", "left")
