@@ -153,6 +153,26 @@ def test_near_duplicates_by_a_link_that_is_not_the_nearest(spark, monkeypatch, f
     assert {r.class_id for r in found} == {0}
 
 
+def dense_rows(n, planted):
+    """Texts that share about a quarter of their shingles; the first ones have a partner at a similarity of 0.8."""
+    rng = random.Random(8)
+    words = lambda k: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(k)]
+    shared = words(44)
+    texts = [shared + words(60) for _ in range(n)]
+    texts += [t[:-11] + words(11) for t in texts[:planted]]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("most_leaves", [4096, 200])
+def test_near_duplicates_recall_in_a_dense_region(spark, monkeypatch, most_leaves):
+    monkeypatch.setattr(simhash_forest, "MOST_LEAVES", most_leaves, raising=False)
+    rows = dense_rows(1500, 150)
+    found = {r.doc_id: r.class_id for r in simhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = sum(found[1500 + i] == i for i in range(150))
+    assert caught >= 147, caught
+    assert all(found[i] == i for i in range(1500))
+
+
 def test_near_duplicates_of_odd_rows(spark, odd_rows):
     extra = odd_rows.unionByName(odd_rows.filter("doc_id = 7").withColumn("doc_id", F.lit(9).cast("long")))
     found = collections.defaultdict(set)

@@ -2,11 +2,10 @@
 
 1. Equal word sequences fall into one text, grouped by digest (partly before the shuffle).
 2. Each text has 128 SimHash bits over its distinct five-word shingles. The forest is several tries, each over its own
-   random permutation of the bits. A trie is held as its leaves in order: a range partition of (trie, permuted bits), so
-   that partitions are even however dense a region is.
-3. A text climbs from its leaf to shorter prefixes, that is outwards in the order, until it has seen ``reach`` leaves on
-   each side; where the region is dense this prefix is deep. How many tries that takes for the target recall at the given
-   similarity follows from the number of texts (``tries_for``).
+   random permutation of the bits.
+3. In each trie a text climbs to a prefix of fixed length (``depth_for``) and meets all leaves that share it, however many
+   they are and wherever they lie; a prefix of very many leaves is dealt over several tasks. How many tries that takes for
+   the target recall at the given similarity follows from this length alone (``tries_for``), so it holds in dense regions too.
 4. Candidates within a Hamming distance, and of lengths that allow the similarity, are verified by the exact Jaccard
    similarity of their shingle sets. Verified links give components. First each leaf is held against its next one in
    ``FIRST_TRIES`` tries. Then, over all tries, only pairs of different components are left. These are verified in rounds:
@@ -46,6 +45,12 @@ PAIRS_AT_ONCE = 128
 #: A round verifies this many times as many pairs of a text as the round before; so few pairs are verified in one round.
 WIDER, FEW_PAIRS = 8, 20_000
 
+#: Leaves of one prefix that meet in a task; more are dealt into several.
+MOST_LEAVES = 4096
+TILE, TILE_ACROSS = 128, 4096
+LEAF = ("trie", "rep", "s1", "s2", "shingles", "c")
+PAIRS = pa.schema([(n, pa.int64()) for n in ("a", "b", "d")])
+
 _word_hashes: dict[str, int] = {}
 _multipliers = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -98,10 +103,14 @@ def bit_agreement(similarity: float) -> float:
     return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
+def depth_for(texts: int, reach: int) -> int:
+    """The length of the prefix that a text climbs to; if sketches were uniform, about 2 to 4 times ``reach`` leaves share it."""
+    return max(0, math.floor(math.log2(max(1, texts) / (2 * reach)))) if texts else 0
+
+
 def tries_for(texts: int, similarity: float, recall: float, reach: int) -> int:
-    """So many tries that a pair of this similarity meets in one of them with this probability."""
-    depth = max(0.0, math.log2(max(1, texts) / (2 * reach)))
-    meets = bit_agreement(similarity) ** depth
+    """So many tries that a pair of this similarity shares the prefix in one of them with this probability."""
+    meets = bit_agreement(similarity) ** depth_for(texts, reach)
     return 8 if meets > 0.9999 else max(8, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
@@ -132,8 +141,8 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     return given.mapInArrow(sketch, "doc_id long, key binary, s1 long, s2 long, shingles long")
 
 
-def leaves(texts: DataFrame, tries: int, partitions: int) -> DataFrame:
-    """The forest in order: a row per text and trie."""
+def grown(texts: DataFrame, tries: int) -> DataFrame:
+    """The forest: a row per text and trie."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         orders = [np.random.default_rng(1000 + t).permutation(BITS)[:64] for t in range(tries)]
@@ -146,9 +155,42 @@ def leaves(texts: DataFrame, tries: int, partitions: int) -> DataFrame:
                 leaf = np.ascontiguousarray(np.packbits(bits[:, order], axis=1)).view(">u8").ravel().astype(np.uint64) ^ FLIP
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(leaf.view(np.int64)), *(batch.column(c) for c in ("rep", "s1", "s2", "shingles", "c"))], names=["trie", "leaf", "rep", "s1", "s2", "shingles", "c"])
 
-    grown = texts.select("rep", "s1", "s2", "shingles", "c").mapInArrow(grow, "trie int, leaf long, rep long, s1 long, s2 long, shingles long, c long")
+    return texts.select("rep", "s1", "s2", "shingles", "c").mapInArrow(grow, "trie int, leaf long, rep long, s1 long, s2 long, shingles long, c long")
+
+
+def next_leaves(texts: DataFrame, tries: int, partitions: int, distance: int, similarity: float) -> DataFrame:
+    """a, b, d: each leaf with the next one in order, but for those over a partition's end. A first pass; nothing rests on it."""
     order = ["trie", "leaf", "rep"]
-    return grown.repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+    forest = grown(texts, tries).repartitionByRange(partitions, *order).sortWithinPartitions(*order)
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = None
+        for batch in batches:
+            now = [batch.column(n).to_numpy() for n in LEAF]
+            rows = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
+            lo, hi = np.arange(len(rows[0]) - 1), np.arange(1, len(rows[0]))
+            trie = rows[0]
+            yield from _close(rows, *(x[trie[lo] == trie[hi]] for x in (lo, hi)), distance, similarity)
+            tail = [x[-1:] for x in rows]
+
+    return forest.select(*LEAF).mapInArrow(pair, "a long, b long, d long")
+
+
+def _differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits differ. Unsigned, as bitwise_count counts the bits of the absolute value."""
+    return np.bitwise_count((x ^ y).view(np.uint64))
+
+
+def _close(rows: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, distance: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Of the pairs of places those of different components, within the distance, and of lengths that allow the similarity."""
+    _, rep, s1, s2, size, c = rows
+    near = _differing(s1[lo], s1[hi]).astype(np.int64) + _differing(s2[lo], s2[hi])
+    at = np.flatnonzero((near <= distance) & (c[lo] != c[hi]))
+    lo, hi, near = lo[at], hi[at], near[at]
+    at = np.flatnonzero(np.minimum(size[lo], size[hi]) >= similarity * np.maximum(size[lo], size[hi]))
+    if len(at):
+        x, y = rep[lo[at]], rep[hi[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(near[at])], schema=PAIRS)
 
 
 def nearest(pairs: DataFrame, width: int) -> DataFrame:
@@ -157,35 +199,77 @@ def nearest(pairs: DataFrame, width: int) -> DataFrame:
     return pairs.select("*", place("a").alias("of_a"), place("b").alias("of_b")).filter(F.least("of_a", "of_b") <= width).drop("of_a", "of_b")
 
 
-def candidates(forest: DataFrame, reach: int, distance: int, similarity: float) -> DataFrame:
-    """a, b, ca, cb, d: pairs of texts of different components within the distance, seen on the climb from their leaves."""
-    schema = pa.schema([(n, pa.int64()) for n in ("a", "b", "ca", "cb", "d")])
-    names = ("trie", "rep", "s1", "s2", "shingles", "c")
+def candidates(texts: DataFrame, tries: int, depth: int, partitions: int, distance: int, similarity: float) -> DataFrame:
+    """a, b, d: all pairs of texts of different components that share a prefix of ``depth`` bits in a trie and are within the distance.
+
+    The leaves of a prefix meet in one task, wherever it lies in the order. If they are more than ``MOST_LEAVES``, they are
+    dealt into parts at random, and each two parts (and each with itself) meet in a task of their own.
+    """
+    forest = grown(texts, tries).withColumn("prefix", F.shiftright("leaf", 64 - depth) if depth else F.lit(0).cast("long"))
+    dense = forest.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_LEAVES)
+    dense = written(dense.select("trie", "prefix", F.ceil(F.col("n") / MOST_LEAVES).cast("int").alias("parts")), "dense")
+    if dense.limit(1).count():
+        # At most tries * texts / MOST_LEAVES rows.
+        parted = forest.join(F.broadcast(dense), ["trie", "prefix"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0)))
+        others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
+        forest = parted.withColumn("other", F.explode(others)).select(*LEAF, "prefix", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+    else:
+        forest = forest.select(*LEAF, "prefix", *[F.lit(0).alias(n) for n in ("part", "x", "y")])
+    unit = ["trie", "prefix", "x", "y"]
+    forest = forest.repartition(partitions, *unit).sortWithinPartitions(*unit, "c", "rep")
+
+    def compare(rows: list[np.ndarray], x: int, y: int, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows are in the order of components, so each tile begins behind the component of its first row."""
+        c, n = rows[5], len(rows[0])
+        for at in range(0, n, TILE):
+            stop = min(at + TILE, n)
+            for left in range(int(np.searchsorted(c, c[at], "right")), n, TILE_ACROSS):
+                right = min(left + TILE_ACROSS, n)
+                _, _, s1, s2, _, _ = rows
+                near = _differing(s1[at:stop, None], s1[None, left:right]) + _differing(s2[at:stop, None], s2[None, left:right])
+                keep = (near <= distance) & (c[at:stop, None] < c[None, left:right])
+                if x != y:
+                    keep &= part[at:stop, None] != part[None, left:right]
+                i, j = np.nonzero(keep)
+                if len(i):
+                    yield from _close(rows, i + at, j + left, distance, similarity)
 
     def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = None
+        held: list[list[np.ndarray]] = []
+        key = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held and sum(len(h[0]) for h in held) > 1:
+                whole = [np.concatenate(h) for h in zip(*held, strict=True)]
+                yield from compare(whole[:6], key[2], key[3], whole[6])
+
         for batch in batches:
-            now = [batch.column(n).to_numpy() for n in names]
-            new_from = 0 if tail is None else len(tail[0])
-            trie, rep, s1, s2, size, c = [np.concatenate(x) for x in zip(tail, now, strict=True)] if tail else now
-            n, found = len(rep), []
-            for d in range(1, min(reach, n - 1) + 1):
-                lo = slice(max(0, new_from - d), n - d)
-                hi = slice(lo.start + d, n)
-                near = np.bitwise_count(s1[lo] ^ s1[hi]).astype(np.int64) + np.bitwise_count(s2[lo] ^ s2[hi])
-                least, most = np.minimum(size[lo], size[hi]), np.maximum(size[lo], size[hi])
-                at = np.flatnonzero((near <= distance) & (trie[lo] == trie[hi]) & (c[lo] != c[hi]) & (least >= similarity * most))
-                if len(at):
-                    i, j = at + lo.start, at + hi.start
-                    swap = rep[i] > rep[j]
-                    i, j = np.where(swap, j, i), np.where(swap, i, j)
-                    found.append(np.stack((rep[i], rep[j], c[i], c[j], near[at]), 1))
-            if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(5)], schema=schema)
-            tail = [x[-reach:] for x in (trie, rep, s1, s2, size, c)]
-
-    return forest.mapInArrow(climb, "a long, b long, ca long, cb long, d long")
+            if not batch.num_rows:
+                continue
+            units = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in unit], 1)
+            rows = [batch.column(n).to_numpy() for n in (*LEAF, "part")]
+            cuts = [0, *(np.flatnonzero((units[1:] != units[:-1]).any(1)) + 1).tolist(), len(units)]
+            for start, stop in zip(cuts, cuts[1:]):
+                now = tuple(units[start].tolist())
+                if now != key:
+                    yield from done()
+                    held, key = [], now
+                held.append([r[start:stop] for r in rows])
+        yield from done()
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The small batches of the prefixes as larger ones."""
+        some, n = [], 0
+        for batch in climb(batches):
+            some.append(batch)
+            n += batch.num_rows
+            if n >= 1 << 16:
+                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+                some, n = [], 0
+        if some:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+    return forest.mapInArrow(merged, "a long, b long, d long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -224,7 +308,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     rows = written(sketches(docs, text), "sketches")
     texts = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("shingles").alias("shingles"))
     texts = written(texts, "texts")
-    tries, distance = tries_for(texts.count(), similarity, recall, reach), distance_for(similarity)
+    n_texts = texts.count()
+    tries, depth, distance = tries_for(n_texts, similarity, recall, reach), depth_for(n_texts, reach), distance_for(similarity)
     # Texts of one document are linked to begin with.
     shared = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
     links = written(shared.join(texts.select("key", "rep"), "key").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(texts.select(F.col("rep").alias("b")), "b", "left_semi").distinct(), "verified")
@@ -236,11 +321,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
 
     labels = None
     # The next leaf.
-    pairs = written(candidates(leaves(with_components(None), FIRST_TRIES, partitions), 1, distance, similarity).distinct(), "pairs")
+    pairs = written(next_leaves(with_components(None), FIRST_TRIES, partitions, distance, similarity).distinct(), "pairs")
     links = links.unionByName(written(verified(pairs, _texts_of(docs, pairs, text), similarity), "verified"))
     labels = written(components(links), "labels")
     # All tries, between components only. Every pair is verified, or inside a component by the time its round comes.
-    left = written(candidates(leaves(with_components(labels), tries, partitions), reach, distance, similarity).select("a", "b", "d").distinct(), "pairs")
+    left = written(candidates(with_components(labels), tries, depth, partitions, distance, similarity).distinct(), "pairs")
     wanted, width = written(_texts_of(docs, left, text), "texts"), 1
     while (n := left.count()) > 0:
         now = left if n <= FEW_PAIRS else written(nearest(left, width), "pairs")
