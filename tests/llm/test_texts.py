@@ -128,6 +128,20 @@ def test_licenses(spark, documents, odd_rows):
     assert license_scan.scan(odd_rows, templates=()).count() == odd_rows.count()
 
 
+def test_wrapped_licenses(spark):
+    notices = {
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal",
+        "gpl-2": "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or",
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+        "mpl-2": "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this",
+    }
+    apart = "Permission is hereby granted, free of charge, to any person\n" + "x " * 60 + "\nobtaining a copy of this software and associated documentation files"
+    rows = [(k, f"head\n\n{v}\ntail") for k, v in notices.items()] + [("", apart)]
+    for r in license_scan.scan(spark.createDataFrame(rows, "name string, text string")).collect():
+        assert r.labels == r.name and (r.score >= license_scan.THRESHOLD) == bool(r.name)
+        assert [(m.label, m.block) for m in r.matches] == ([(r.name, 2)] if r.name else [])
+
+
 def test_license_query(spark, sf_dir):
     rows = op3.query(spark, sf_dir).filter("base_labels <> ''").collect()
     assert rows and all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and r.score == 1.0 for r in rows)

@@ -1,7 +1,8 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with templates, with DataFrame functions only.
 
-A template is a label and a text. A block (a line of a document) matches it when the block holds at least ``threshold``
-of the template's distinct words. The join is exact and prunes in four steps:
+A template is a label and a text. A block matches it when the block holds at least ``threshold`` of the template's
+distinct words. Blocks are the lines of a document, and, as notices are wrapped, all windows of words that run over line
+ends, ``WINDOWS`` times as long as the longest template. The join is exact and prunes in four steps:
 
 1. words are ordered by how many documents of the corpus hold them, the rarest first; words that no template holds can't
    count and are dropped;
@@ -10,7 +11,9 @@ of the template's distinct words. The join is exact and prunes in four steps:
 3. length: a block needs ``need`` template words;
 4. position: from the first common word on, both must have enough words left.
 
-Then the words are intersected. Templates are a fixed, small table (checked: at most ``MOST_TEMPLATES`` of at most
+Then the words are intersected. Windows are tried where the whole document holds enough of a template's words, and begin at
+one of these; of a template's windows the best (then the first) is a match, with the line that it begins in, unless a line
+alone is as good. Templates are a fixed, small table (checked: at most ``MOST_TEMPLATES`` of at most
 ``MOST_WORDS`` words), and are probed in the row of the document, so no text is shuffled; the only shuffle is of the counts
 of template words.
 
@@ -43,6 +46,7 @@ TEMPLATES = (
 )
 THRESHOLD = 0.9
 MOST_TEMPLATES, MOST_WORDS = 1000, 2000
+WINDOWS = 2
 
 SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 WORD = f"[^{SEP}]+"
@@ -119,11 +123,35 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
         words = F.regexp_extract_all(words_of(block["line"]), F.lit(WORD), F.lit(0))
         return F.get(F.transform(F.array(F.array_intersect(ordered, words)), against), F.lit(0))
 
+    length = WINDOWS * max((len(PYTHON_WORD.findall(t)) for _, t in templates), default=0)
+
+    def across(words: Column) -> Column:
+        """The best window over line ends of each template; words: (n, w), the line and the word."""
+
+        def best(x: Column) -> Column:
+            def window(i: Column) -> Column:
+                part = F.slice(words, i + 1, length)
+                return F.struct(F.size(F.array_intersect(x["tokens"], part["w"])).alias("n"), (-part[0]["n"]).alias("first"), F.element_at(part, -1)["n"].alias("last"))
+
+            starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.array_contains(x["tokens"], F.get(words, i)["w"]))
+            found = F.array_max(F.filter(F.transform(starts, window), lambda s: (s["n"] >= x["need"]) & (s["last"] > -s["first"])))
+            return F.struct(x["label"].alias("label"), (-found["first"]).alias("block"), (found["n"] / F.size(x["tokens"])).alias("share"))
+
+        held = F.array_intersect(ordered, words["w"])
+        wide = lambda held: F.filter(F.array(*structs), lambda x: F.size(F.array_intersect(x["tokens"], held)) >= x["need"])
+        return F.filter(F.flatten(F.transform(F.array(held), lambda h: F.transform(wide(h), best))), lambda s: s["share"].isNotNull())
+
+    def with_windows(lines: Column) -> Column:
+        words = F.flatten(F.transform(F.split(t, "\n"), lambda line, n: F.transform(F.regexp_extract_all(words_of(line), F.lit(WORD), F.lit(0)), lambda w: F.struct(n.alias("n"), w.alias("w")))))
+        new = lambda m: F.filter(F.get(F.transform(F.array(words), across), F.lit(0)), lambda s: ~F.exists(m, lambda x: (x["label"] == s["label"]) & (x["share"] >= s["share"])))
+        return F.get(F.transform(F.array(lines), lambda m: F.concat(m, new(m))), F.lit(0))
+
     empty = F.array().cast("array<struct<label:string,block:int,share:double>>")
     if prepared:
         prefixes = any_of({w for *_, prefix in prepared for w in prefix})
         blocks = F.filter(F.transform(F.split(t, "\n"), lambda line, n: F.struct(n.alias("n"), line.alias("line"))), lambda b: b["line"].rlike(prefixes))
-        matches = F.when(t.rlike(prefixes), F.flatten(F.transform(blocks, probe))).otherwise(empty)
+        alone = F.flatten(F.transform(blocks, probe))
+        matches = F.when(t.rlike(prefixes), F.when(t.contains("\n"), with_windows(alone)).otherwise(alone)).otherwise(empty)
     else:
         matches = empty
     done = found.select(*keep, "n_words", "n_base", F.when(hit, before(True)).alias("first_word"), F.when(hit, before(False)).alias("last_word"), labels.alias("__b"), matches.alias("matches"))
