@@ -1,8 +1,8 @@
-"""Incremental capture and lineage with Structured Streaming.
+"""Incremental capture, and a store of facts for lineage, with Structured Streaming.
 
 ``capture_stream`` appends new events to a Parquet table batch by batch: identity makes a repeated delivery a no-op.
-``lineage_stream`` keeps the facts as they arrive, however late, and recomputes the lineages that a batch touches; there
-is no bound on lateness, so nothing is dropped, and each batch reads only the partitions of the touched lineages.
+``lineage_stream`` only stores the facts as they arrive, however late, by bucket of lineage; nothing is dropped and nothing is
+recomputed in the stream. ``stored_lineages`` reconciles on reading: all stored rows, or those of given lineages by a join.
 """
 
 from __future__ import annotations
