@@ -3,15 +3,15 @@
 1. Equal word sequences fall into one text, grouped by digest (partly before the shuffle).
 2. Each text has 128 SimHash bits over its distinct five-word shingles. The forest is several tries, each over its own
    random permutation of the bits.
-3. In each trie a text climbs to a prefix of fixed length (``depth_for``) and meets all leaves that share it, however many
-   they are and wherever they lie; a prefix of very many leaves is dealt over several tasks. How many tries that takes for
-   the target recall at the given similarity follows from this length alone (``tries_for``), so it holds in dense regions too.
-4. Candidates within a Hamming distance, and of lengths that allow the similarity, are verified by the exact Jaccard
-   similarity of their shingle sets. Verified links give components. First each leaf is held against its next one in
-   ``FIRST_TRIES`` tries. Then, over all tries, only pairs of different components are left. These are verified in rounds:
-   the nearest pairs of each text, then, of the pairs that are still between components, more of each text's nearest, until
-   none is left. So a group of very many copies gives a few pairs per text, and no candidate between different classes goes
-   unverified.
+3. In each trie a text climbs from its leaf to the longest prefix at which the tries together reach the target recall
+   (``depth_for``, ``tries_for``) and meets all leaves that share it, however many they are and wherever they lie. The
+   target follows from the prefix's length alone, so it holds in dense regions too; what adapts to density is how a
+   prefix is dealt: one of more than ``MOST_LEAVES`` leaves goes to several tasks (``dealt``).
+4. Two leaves are candidates if they are within a Hamming distance and of lengths that allow the similarity, in the first
+   trie in which they meet. No pair leaves a task: it names the leaves that have a candidate, these get their shingle
+   sets, and the same leaves meet once more, are compared exactly, and give at most one link per leaf that is new to its
+   component there. So rows grow with leaves, not with the pairs of a group, and every candidate is verified.
+5. Links give components.
 
 Words are runs of digits, letters and all characters beyond ASCII, A-Z lower-cased. A text of 1 to 4 words is one
 shingle. Defined results: a null or empty text, or one without words, is a class of its own; rows that share a doc_id
@@ -21,13 +21,14 @@ id is the least doc_id of the class. Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
@@ -42,13 +43,13 @@ BROADCAST_IDS = 4_000_000
 FIRST_TRIES = 4
 KEPT_WORDS = 150_000
 PAIRS_AT_ONCE = 128
-#: A round verifies this many times as many pairs of a text as the round before; so few pairs are verified in one round.
-WIDER, FEW_PAIRS = 8, 20_000
 
-#: Leaves of one prefix that meet in a task; more are dealt into several.
-MOST_LEAVES = 4096
+#: Leaves, and shingles of leaves, of one prefix that meet in a task; more are dealt into parts.
+MOST_LEAVES, MOST_SHINGLES = 4096, 8_000_000
 TILE, TILE_ACROSS = 128, 4096
 LEAF = ("trie", "rep", "s1", "s2", "shingles", "c")
+UNIT = ("trie", "prefix", "x", "y")
+UNIT_SQL = "trie int, prefix long, x int, y int"
 PAIRS = pa.schema([(n, pa.int64()) for n in ("a", "b", "d")])
 
 _word_hashes: dict[str, int] = {}
@@ -141,11 +142,23 @@ def sketches(docs: DataFrame, text: str) -> DataFrame:
     return given.mapInArrow(sketch, "doc_id long, key binary, s1 long, s2 long, shingles long")
 
 
+def permutation(trie: int) -> np.ndarray:
+    return np.random.default_rng(1000 + trie).permutation(BITS)[:64]
+
+
+def prefix_masks(tries: int, depth: int) -> np.ndarray:
+    """For each trie the bits of both halves of a sketch that its prefix holds."""
+    held = np.zeros((tries, BITS), np.uint8)
+    for t in range(tries):
+        held[t, permutation(t)[:depth]] = 1
+    return np.packbits(held, axis=1).view(np.int64)
+
+
 def grown(texts: DataFrame, tries: int) -> DataFrame:
     """The forest: a row per text and trie."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        orders = [np.random.default_rng(1000 + t).permutation(BITS)[:64] for t in range(tries)]
+        orders = [permutation(t) for t in range(tries)]
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -193,111 +206,172 @@ def _close(rows: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, distance: int
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(near[at])], schema=PAIRS)
 
 
-def nearest(pairs: DataFrame, width: int) -> DataFrame:
-    """The pairs that are among the ``width`` nearest of either of their texts."""
-    place = lambda text: F.row_number().over(Window.partitionBy(text).orderBy("d", "a", "b"))
-    return pairs.select("*", place("a").alias("of_a"), place("b").alias("of_b")).filter(F.least("of_a", "of_b") <= width).drop("of_a", "of_b")
-
-
-def candidates(texts: DataFrame, tries: int, depth: int, partitions: int, distance: int, similarity: float) -> DataFrame:
-    """a, b, d: all pairs of texts of different components that share a prefix of ``depth`` bits in a trie and are within the distance.
-
-    The leaves of a prefix meet in one task, wherever it lies in the order. If they are more than ``MOST_LEAVES``, they are
-    dealt into parts at random, and each two parts (and each with itself) meet in a task of their own.
-    """
-    forest = grown(texts, tries).withColumn("prefix", F.shiftright("leaf", 64 - depth) if depth else F.lit(0).cast("long"))
-    dense = forest.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > MOST_LEAVES)
-    dense = written(dense.select("trie", "prefix", F.ceil(F.col("n") / MOST_LEAVES).cast("int").alias("parts")), "dense")
-    if dense.limit(1).count():
-        # At most tries * texts / MOST_LEAVES rows.
-        parted = forest.join(F.broadcast(dense), ["trie", "prefix"], "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0)))
-        others = F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)
-        forest = parted.withColumn("other", F.explode(others)).select(*LEAF, "prefix", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
-    else:
-        forest = forest.select(*LEAF, "prefix", *[F.lit(0).alias(n) for n in ("part", "x", "y")])
-    unit = ["trie", "prefix", "x", "y"]
-    forest = forest.repartition(partitions, *unit).sortWithinPartitions(*unit, "c", "rep")
-
-    def compare(rows: list[np.ndarray], x: int, y: int, part: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Rows are in the order of components, so each tile begins behind the component of its first row."""
-        c, n = rows[5], len(rows[0])
-        for at in range(0, n, TILE):
-            stop = min(at + TILE, n)
-            for left in range(int(np.searchsorted(c, c[at], "right")), n, TILE_ACROSS):
-                right = min(left + TILE_ACROSS, n)
-                _, _, s1, s2, _, _ = rows
-                near = _differing(s1[at:stop, None], s1[None, left:right]) + _differing(s2[at:stop, None], s2[None, left:right])
-                keep = (near <= distance) & (c[at:stop, None] < c[None, left:right])
-                if x != y:
-                    keep &= part[at:stop, None] != part[None, left:right]
-                i, j = np.nonzero(keep)
-                if len(i):
-                    yield from _close(rows, i + at, j + left, distance, similarity)
-
-    def climb(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        key = None
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if held and sum(len(h[0]) for h in held) > 1:
-                whole = [np.concatenate(h) for h in zip(*held, strict=True)]
-                yield from compare(whole[:6], key[2], key[3], whole[6])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            units = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in unit], 1)
-            rows = [batch.column(n).to_numpy() for n in (*LEAF, "part")]
-            cuts = [0, *(np.flatnonzero((units[1:] != units[:-1]).any(1)) + 1).tolist(), len(units)]
-            for start, stop in zip(cuts, cuts[1:]):
-                now = tuple(units[start].tolist())
-                if now != key:
-                    yield from done()
-                    held, key = [], now
-                held.append([r[start:stop] for r in rows])
-        yield from done()
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The small batches of the prefixes as larger ones."""
-        some, n = [], 0
-        for batch in climb(batches):
-            some.append(batch)
-            n += batch.num_rows
-            if n >= 1 << 16:
-                yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
-                some, n = [], 0
-        if some:
-            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
-
-    return forest.mapInArrow(merged, "a long, b long, d long")
-
-
-def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) whose shingle sets have the similarity. texts: rep, text."""
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose shingle sets have the similarity. sets: rep, held."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, PAIRS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAIRS_AT_ONCE)):
-            good, last, kept = [], None, None
-            for a, b, x, y in zip(*(batch.column(n).to_pylist() for n in ("a", "b", "ta", "tb")), strict=True):
-                if last != b:
-                    last, kept = b, shingle_hashes(words_of(y))
-                good.append(jaccard(shingle_hashes(words_of(x)), kept) >= similarity - 1e-12)
+            good = [jaccard(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) >= similarity - 1e-12 for x, y in zip(*(batch.column(n).to_pylist() for n in ("ta", "tb")), strict=True)]
             keep = batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
             if keep.num_rows:
                 yield pa.RecordBatch.from_arrays([keep.column(0), keep.column(1)], schema=schema)
 
-    left = pairs.select("a", "b").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a")
-    whole = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("held").alias("ta")), "a")
+    whole = left.join(sets.select(F.col("rep").alias("b"), F.col("held").alias("tb")), "b").select("a", "b", "ta", "tb")
     return whole.mapInArrow(check, "a long, b long")
 
 
-def _texts_of(docs: DataFrame, pairs: DataFrame, text: str) -> DataFrame:
-    """The texts of the ids in pairs. Where a doc_id has several, the first in order, so that all agree."""
-    ids = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
+def shingle_sets(docs: DataFrame, ids: DataFrame, text: str) -> DataFrame:
+    """rep, held (its shingles' hashes, ascending, as bytes) for the texts of the ids; equal texts of an id once."""
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    given = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text"))
-    return given.join(ids, "rep", "left_semi")
+    given = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(f"`{text}`").cast("string").alias("text")).join(ids, "rep", "left_semi")
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, PAIRS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, PAIRS_AT_ONCE)):
+            held = [shingle_hashes(words_of(t.as_py())).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array(map(xxhash.xxh3_128_digest, held), pa.binary()), pa.array(held, pa.binary())], names=["rep", "key", "held"])
+
+    sets = given.mapInArrow(shingle, "rep long, key binary, held binary").filter("octet_length(held) > 0")
+    return written(sets.repartition("rep").groupBy("rep", "key").agg(F.first("held").alias("held")).select("rep", "held"), "sets")
+
+
+def dealt(forest: DataFrame, dense: DataFrame) -> DataFrame:
+    """Leaves of dense prefixes (trie, prefix), dealt into parts: a row for each two parts that have to meet.
+
+    A component with many leaves in a prefix has parts of its own, which needn't meet each other; all others share parts by
+    their component. So a prefix whose leaves are nearly all linked costs in proportion to its leaves.
+    """
+    key = ["trie", "prefix"]
+    leaves = forest.join(dense, key)
+    sizes = leaves.groupBy(*key, "c").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("w"))
+    parts = lambda n, w: F.greatest(F.ceil(n / MOST_LEAVES), F.ceil(w / MOST_SHINGLES)).cast("int")
+    many = (F.col("n") > MOST_LEAVES // 4) | (F.col("w") > MOST_SHINGLES // 4)
+    own = F.transform(F.array_sort(F.collect_list(F.when(many, F.struct("c", parts(F.col("n"), F.col("w")).alias("parts"))))), lambda o: F.struct(o["c"].alias("owner"), o["parts"].alias("parts")))
+    shared = F.greatest(F.lit(1), parts(F.sum(F.when(~many, F.col("n")).otherwise(0)), F.sum(F.when(~many, F.col("w")).otherwise(0))))
+    plan = sizes.groupBy(*key).agg(own.alias("own"), shared.alias("shared"))
+    none = F.lit(None).cast("long")
+    first = lambda i: F.col("shared") + F.aggregate(F.slice("own", 1, i), F.lit(0), lambda a, o: a + o["parts"])
+    every = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("shared") - 1), lambda p: F.struct(p.alias("part"), none.alias("owner"))),
+        F.flatten(F.transform("own", lambda o, i: F.transform(F.sequence(F.lit(0), o["parts"] - 1), lambda p: F.struct((first(i) + p).alias("part"), o["owner"].alias("owner"))))),
+    )
+    plan = written(plan.select(*key, "shared", every.alias("every")), "dealt")
+    mine = F.filter("every", lambda e: e["owner"] == F.col("c"))
+    by = lambda what, n: F.pmod(F.xxhash64(what), n).cast("int")
+    part = F.when(F.size("mine") > 0, F.get("mine", by("rep", F.size("mine")))["part"]).otherwise(by("c", F.col("shared")))
+    met = leaves.join(plan, key).withColumn("mine", mine).withColumn("part", part)
+    others = F.filter("every", lambda e: e["owner"].isNull() | (e["owner"] != F.col("c")))
+    met = met.withColumn("other", F.explode(F.transform(others, lambda e: e["part"])))
+    return met.select(*LEAF, "prefix", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+
+
+def _by_unit(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list]]:
+    """(unit, columns) of rows in the order of UNIT."""
+    held: list[list] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        units = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in UNIT], 1)
+        cuts = [0, *(np.flatnonzero((units[1:] != units[:-1]).any(1)) + 1).tolist(), len(units)]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            now = tuple(units[start].tolist())
+            if now != key:
+                if held:
+                    yield key, [pa.concat_arrays(h) for h in zip(*held, strict=True)]
+                held, key = [], now
+            held.append([batch.column(n).slice(start, stop - start) for n in columns])
+    if held:
+        yield key, [pa.concat_arrays(h) for h in zip(*held, strict=True)]
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches as larger ones."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows
+        if n >= 1 << 14:
+            yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks().to_batches()[0]
+
+
+def candidates(forest: DataFrame, tries: int, depth: int, partitions: int, distance: int, similarity: float) -> DataFrame:
+    """UNIT and rep: the leaves that have a candidate where they meet. forest: LEAF, prefix, part, x, y."""
+    unit = list(UNIT)
+    met = forest.repartition(partitions, *unit).sortWithinPartitions(*unit, "c", "rep")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        masks = prefix_masks(tries, depth)
+        for (trie, prefix, x, y), columns in _by_unit(batches, (*LEAF[1:], "part")):
+            n = len(columns[0])
+            if n < 2:
+                continue
+            rep, s1, s2, size, c, part = (a.to_numpy() for a in columns)
+            has = np.zeros(n, bool)
+            # Rows are in the order of components, so each tile begins behind the component of its first row.
+            for at in range(0, n, TILE):
+                stop = min(at + TILE, n)
+                for left in range(int(np.searchsorted(c, c[at], "right")), n, TILE_ACROSS):
+                    right = min(left + TILE_ACROSS, n)
+                    near = _differing(s1[at:stop, None], s1[None, left:right]) + _differing(s2[at:stop, None], s2[None, left:right])
+                    keep = (near <= distance) & (c[at:stop, None] < c[None, left:right])
+                    if x != y:
+                        keep &= part[at:stop, None] != part[None, left:right]
+                    i, j = np.nonzero(keep)
+                    i, j = i + at, j + left
+                    fits = np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+                    i, j = i[fits], j[fits]
+                    if len(i):
+                        one, two = s1[i] ^ s1[j], s2[i] ^ s2[j]
+                        new = np.ones(len(i), bool)
+                        for a, b in masks[:trie]:
+                            new &= ((one & a) | (two & b)) != 0
+                        has[i[new]] = has[j[new]] = True
+            at = np.flatnonzero(has)
+            if len(at):
+                same = [pa.array(np.full(len(at), v), kind) for v, kind in zip((trie, prefix, x, y), (pa.int32(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(rep[at])], names=[*UNIT, "rep"])
+
+    return met.mapInArrow(lambda batches: _together(meet(batches)), f"{UNIT_SQL}, rep long")
+
+
+def compare(sets: list[np.ndarray], similarity: float) -> Iterator[tuple[int, int]]:
+    """Places of sets whose Jaccard similarity suffices, unless they are linked by earlier ones already."""
+    n, size = len(sets), np.array(list(map(len, sets)), np.int64)
+    ends = np.cumsum(size)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(codes.max()) + 1, np.int32)
+    group = np.arange(n)
+    for i in range(n - 1):
+        if not (group[i + 1 :] != group[i]).any():
+            continue
+        own = codes[ends[i] - size[i] : ends[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes[ends[i] :]], ends[i:-1] - ends[i])
+        mark[own] = 0
+        for j in (np.flatnonzero(both >= (similarity - 1e-12) * (size[i] + size[i + 1 :] - both)) + i + 1).tolist():
+            if group[i] != group[j]:
+                group[group == group[j]] = group[i]
+                yield i, j
+
+
+def links_of(met: DataFrame, sets: DataFrame, partitions: int, similarity: float) -> DataFrame:
+    """a, b: links among the leaves (UNIT, rep) that meet, by their shingle sets; at most one per leaf."""
+    unit = list(UNIT)
+    rows = met.join(sets, "rep").repartition(partitions, *unit).sortWithinPartitions(*unit, "rep")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, (rep, held) in _by_unit(batches, ("rep", "held")):
+            ids = rep.to_numpy()
+            pairs = [(ids[i], ids[j]) for i, j in compare([np.frombuffer(x.as_py(), np.uint64) for x in held], similarity) if ids[i] != ids[j]]
+            if pairs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(*x), pa.int64()) if k == 0 else pa.array(np.maximum(*x), pa.int64()) for k, x in enumerate([np.array(pairs, np.int64).T] * 2)], names=["a", "b"])
+
+    return rows.mapInArrow(lambda batches: _together(link(batches)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8, recall: float = 0.99, reach: int = 32) -> DataFrame:
@@ -306,39 +380,38 @@ def near_duplicates(docs: DataFrame, text: str = "text", similarity: float = 0.8
     ship(spark)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = written(sketches(docs, text), "sketches")
-    texts = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("shingles").alias("shingles"))
-    texts = written(texts, "texts")
+    there = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL")
+    texts = there.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("shingles").alias("shingles"))
+    texts = written(texts.withColumn("c", F.col("rep")), "texts")
     n_texts = texts.count()
     tries, depth, distance = tries_for(n_texts, similarity, recall, reach), depth_for(n_texts, reach), distance_for(similarity)
     # Texts of one document are linked to begin with.
-    shared = rows.filter("key IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "key").distinct()
-    links = written(shared.join(texts.select("key", "rep"), "key").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).join(texts.select(F.col("rep").alias("b")), "b", "left_semi").distinct(), "verified")
-
-    def with_components(labels: DataFrame | None) -> DataFrame:
-        if labels is None:
-            return texts.withColumn("c", F.col("rep"))
-        return texts.join(labels, texts["rep"] == labels["v"], "left").select("key", "rep", "s1", "s2", "shingles", F.coalesce("c", "rep").alias("c"))
-
-    labels = None
-    # The next leaf.
-    pairs = written(next_leaves(with_components(None), FIRST_TRIES, partitions, distance, similarity).distinct(), "pairs")
-    links = links.unionByName(written(verified(pairs, _texts_of(docs, pairs, text), similarity), "verified"))
-    labels = written(components(links), "labels")
-    # All tries, between components only. Every pair is verified, or inside a component by the time its round comes.
-    left = written(candidates(with_components(labels), tries, depth, partitions, distance, similarity).distinct(), "pairs")
-    wanted, width = written(_texts_of(docs, left, text), "texts"), 1
-    while (n := left.count()) > 0:
-        now = left if n <= FEW_PAIRS else written(nearest(left, width), "pairs")
-        found = written(verified(now, wanted, similarity), "verified")
-        if found.limit(1).count():
-            links = links.unionByName(found)
-            labels = written(components(links), "labels")
-        if n <= FEW_PAIRS:
-            break
-        still = left.join(now.select("a", "b"), ["a", "b"], "left_anti")
-        still = still.join(labels.select(F.col("v").alias("a"), F.col("c").alias("x")), "a", "left").join(labels.select(F.col("v").alias("b"), F.col("c").alias("y")), "b", "left")
-        left, width = written(still.filter(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b", "d"), "pairs"), width * WIDER
-    classes = with_components(labels).select("key", F.col("c").alias("class_id"))
-    keyed = rows.select("doc_id", "key")
-    out = keyed.join(classes, "key", "left")
+    shared = there.select("doc_id", "key").join(texts.select("key", "rep"), "key").filter("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    links = [shared.join(texts.select(F.col("rep").alias("b")), "b", "left_semi").select("a", "b")]
+
+    def with_prefix(texts: DataFrame) -> DataFrame:
+        return grown(texts, tries).withColumn("prefix", F.shiftright("leaf", 64 - depth) if depth else F.lit(0).cast("long"))
+
+    forest = with_prefix(texts)
+    dense = forest.groupBy("trie", "prefix").agg(F.count(F.lit(1)).alias("n"), F.sum("shingles").alias("w")).filter((F.col("n") > MOST_LEAVES) | (F.col("w") > MOST_SHINGLES))
+    dense = written(dense.select("trie", "prefix"), "dense")
+    if dense.limit(1).count():
+        # Neighbours in the first tries are linked before, so that what is one group needn't meet itself in parts.
+        pairs = written(next_leaves(texts, min(FIRST_TRIES, tries), partitions, distance, similarity).distinct(), "pairs")
+        ids = written(pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct(), "ids")
+        links.append(written(verified(pairs, shingle_sets(docs, ids, text), similarity), "verified"))
+        labels = components(links[0].unionByName(links[1]))
+        texts = written(texts.drop("c").join(labels, texts["rep"] == labels["v"], "left").select("key", "rep", "s1", "s2", "shingles", F.coalesce("c", "rep").alias("c")), "texts")
+        forest = with_prefix(texts)
+        parted = forest.join(dense, ["trie", "prefix"], "left_anti")
+        forest = dealt(forest, dense)
+    else:
+        parted, forest = forest, None
+    whole = parted.select(*LEAF, "prefix", *[F.lit(0).alias(n) for n in ("part", "x", "y")])
+    met = written(candidates(whole.unionByName(forest) if forest is not None else whole, tries, depth, partitions, distance, similarity), "met")
+    sets = shingle_sets(docs, written(met.select("rep").distinct(), "ids"), text)
+    links.append(written(links_of(met, sets, partitions, similarity), "verified"))
+    labels = components(functools.reduce(DataFrame.unionByName, links))
+    classes = texts.select("key", "rep").join(labels, F.col("rep") == F.col("v"), "left").select("key", F.coalesce("c", "rep").alias("class_id"))
+    out = rows.select("doc_id", "key").join(classes, "key", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"))
