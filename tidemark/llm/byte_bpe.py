@@ -4,10 +4,11 @@ A text is cut into words by the tokenizer's pattern. A word that is a token itse
 of its bytes, over which ``aggregate`` folds the ranked merges: at each step the adjacent pair of the lowest rank, the
 leftmost of equals, is joined. Ranks come from a literal, an array of small maps that is indexed by hash.
 
-The fold takes about 250 microseconds for a word, far too long for each word where it stands. So the words of the whole
-corpus are counted, and the distinct words that occur most are folded once, into a dictionary of at most
-``dictionary_words`` words of at most ``WORD_BYTES`` bytes. That bounds what is broadcast. An Arrow function then writes the
-ids of each text from the dictionary; words that are too rare or too long for it get the same merges there with a heap,
+The fold takes about 100 microseconds for a word, far too long for each word where it stands, and a corpus has more
+distinct words than a worker can hold. So the distinct words between spaces are counted over all texts, and those that
+occur most are folded once: at most ``dictionary_words`` of at most ``WORD_BYTES`` bytes. This dictionary is a table in the
+shared folder; it never comes to the driver, and each worker loads it once. An Arrow function then writes the ids of each
+text from it. Words that are too rare or too long for the dictionary get the same merges there, the long ones with a heap
 in n log n steps. No text is shuffled, and the result doesn't depend on what the dictionary holds.
 
 Bytes are held as strings of code points 0 to 255. Decoding looks every id up in an array of such pieces, joins them and
@@ -22,21 +23,23 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.words import IRREGULAR_SPACE
-from tidemark.runtime import ship, written
+from tidemark.runtime import fresh_path, ship, written
 
 SPACE, NO_SPACE = r"\p{IsWhite_Space}", r"\P{IsWhite_Space}"
 NONE = 2**31 - 1
 WORD_BYTES = 64
+DICTIONARY_WORDS = 262_144
 RARE_WORDS = 200_000
 TEXTS_AT_ONCE = 256
 RESULT = "ids_text"
@@ -79,12 +82,6 @@ class ByteBPE:
             else:
                 java, i = java + two[0], i + 1
         self.java_pattern = java
-        self.words: dict[str, str] = {}
-        for token, rank in ranks.items():
-            try:
-                self.words[token.decode()] = str(rank)
-            except UnicodeDecodeError:
-                pass
         self.rank_table, self.rank_mask = _bucketed({k.decode("latin-1"): v for k, v in ranks.items()}, "int")
         pieces = [""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -130,6 +127,15 @@ class ByteBPE:
     def fold(self, word: Column) -> Column:
         return _let(self.rank_table, lambda table: self._fold(word, table))
 
+    def fold_all(self, words: Column) -> Column:
+        """The ids of the words of an array, comma-joined; a word that is a token has that id."""
+
+        def one(word: Column, table: Column) -> Column:
+            whole = _found(table, self.rank_mask, F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
+            return F.coalesce(whole.cast("string"), self._fold(word, table))
+
+        return _let(self.rank_table, lambda table: F.array_join(F.transform(words, lambda w: one(w, table)), ","))
+
     def decoded(self, ids: Column) -> Column:
         """The bytes of an array of ids (as numbers or their decimal strings)."""
         text = _let(self.pieces, lambda pieces: F.array_join(F.transform(ids, lambda i: F.get(pieces, i.cast("int"))), ""))
@@ -137,39 +143,42 @@ class ByteBPE:
 
     # -- tables
 
-    def dictionary(self, docs: DataFrame, text: str, most: int) -> dict[str, str]:
-        """The words outside the vocabulary that occur most, folded: at most so many, by whole ranges of counts.
+    def dictionary(self, docs: DataFrame, text: str, most: int) -> str:
+        """The folder of a table (s, ids) of the distinct words that occur most, folded.
 
-        Words between spaces are counted first, as the pattern cuts at nearly all spaces; their distinct ones are cut.
+        Words are what stands between spaces, as the pattern cuts at nearly all spaces; s is cut by it and folded as it
+        stands behind a space. They are chosen by ranges of counts; of the last range, by a hash, as many as there is room for.
         """
-        table, mask = _bucketed(self.words, "string")
-        spaced = docs.select(F.explode(F.split(F.col(text), " ")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        unknown = _let(table, lambda t: F.filter(self.split(F.concat(F.lit(" "), F.col("s"))), lambda w: (F.octet_length(w) <= WORD_BYTES) & _found(t, mask, w).isNull()))
-        counts = spaced.select(F.explode(unknown).alias("w"), "n").groupBy("w").agg(F.sum("n").alias("n"))
-        counts = written(counts.select("w", F.floor(F.log2("n") * 8).cast("int").alias("level")), "bpe-words")
+        spark = docs.sparkSession
+        spaced = docs.select(F.explode(F.split(F.col(text), " ")).alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+        # Characters that this Java doesn't know yet might be cut otherwise than by the newer tables of the workers.
+        spaced = spaced.filter((F.col("n") > 1) & (F.octet_length("s") < WORD_BYTES) & (F.octet_length("s") > 0) & ~F.col("s").rlike(r"\p{Cn}"))
+        counts = written(spaced.select("s", F.floor(F.log2("n") * 8).cast("int").alias("level")), "bpe-words")
         levels = sorted(((r["level"], r["k"]) for r in counts.groupBy("level").agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-        total, lowest = 0, None
+        left, chosen = most, F.lit(False)
         for level, k in levels:
-            if (total := total + k) > most:
+            last = F.col("level") == level
+            chosen = chosen | (last if k <= left else last & (F.pmod(F.xxhash64("s"), F.lit(k)) < left))
+            if (left := left - k) <= 0:
                 break
-            lowest = level
-        if lowest is None:
-            return {}
-        chosen = counts.filter(F.col("level") >= lowest).select("w").repartition(max(1, min(most // 2048, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
-        return {r["w"]: r["ids"] for r in chosen.select("w", self.fold(F.col("w")).alias("ids")).collect()}
+        tasks = max(1, min(most // 2048, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+        some = written(counts.filter(chosen).select("s").repartition(tasks), "bpe-chosen")
+        path = fresh_path(spark, "bpe-dictionary")
+        some.select("s", self.fold_all(self.split(F.concat(F.lit(" "), F.col("s")))).alias("ids")).write.parquet(path)
+        return path
 
-    def encode(self, docs: DataFrame, text: str = "text", dictionary_words: int = 65_536) -> DataFrame:
+    def encode(self, docs: DataFrame, text: str = "text", dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
         """docs with ids_text, the decimal ids joined by commas."""
         spark = docs.sparkSession
         ship(spark)
         base = docs.withColumn("__t", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
         kept = [c for c in docs.columns if c.lower() not in (RESULT, "__t")]
         given = base.select(*[F.col(f"`{c}`") for c in kept], "__t")
-        shared = spark.sparkContext.broadcast((self.pattern, self.ranks, self.words | self.dictionary(base, "__t", dictionary_words)))
-        tag = uuid.uuid4().hex
+        path = self.dictionary(base, "__t", dictionary_words)
+        shared = spark.sparkContext.broadcast((self.pattern, self.ranks))
 
         def ids_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode = _encoder(tag, shared).encode
+            encode = _encoder(path, shared).encode
             for whole in batches:
                 for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                     batch = whole.slice(at, TEXTS_AT_ONCE)
@@ -238,23 +247,22 @@ def merge(piece: bytes, ranks: dict[bytes, int], pairs_of_bytes: list[int]) -> l
 
 
 class TextEncoder:
-    """The ids of texts, comma-joined: by the dictionary, and by merging where it has no such word."""
+    """The ids of texts, comma-joined: by the dictionary of words behind a space, and by merging where it has no such word."""
 
-    def __init__(self, pattern: str, ranks: dict[bytes, int], known: dict[str, str]):
+    def __init__(self, pattern: str, ranks: dict[bytes, int], spaced: dict[str, str]):
         import regex
 
-        self.cut, self.ranks, self.known = regex.compile(pattern).findall, ranks, known
+        self.cut, self.ranks, self.spaced = regex.compile(pattern).findall, ranks, spaced
         self.pairs = pair_table(ranks)
         # A space and plain letters are one word of the pattern; so is a mark after them.
         self.lettered = self.cut(" abc, de\u00e9.") == [" abc", ",", " de\u00e9", "."]
-        self.spaced = {w[1:]: ids for w, ids in known.items() if w[0] == " "}
         self.rare: dict[str, str] = {}
 
     def pieces(self, text: str) -> str:
         return ",".join(map(self.word, self.cut(text)))
 
     def word(self, word: str) -> str:
-        return self.known.get(word) or ",".join(map(str, merge(word.encode(), self.ranks, self.pairs)))
+        return ",".join(map(str, merge(word.encode(), self.ranks, self.pairs)))
 
     def spaced_word(self, word: str) -> str:
         """The ids of a space and a word without white space at its ends."""
@@ -288,9 +296,11 @@ class TextEncoder:
 _encoders: dict[str, TextEncoder] = {}
 
 
-def _encoder(tag: str, shared) -> TextEncoder:
+def _encoder(path: str, shared) -> TextEncoder:
     """One encoder for each worker, kept over tasks."""
-    if tag not in _encoders:
+    if path not in _encoders:
         _encoders.clear()
-        _encoders[tag] = TextEncoder(*shared.value)
-    return _encoders[tag]
+        fs, name = pafs.FileSystem.from_uri(path)
+        table = pq.read_table(name, filesystem=fs, columns=["s", "ids"])
+        _encoders[path] = TextEncoder(*shared.value, dict(zip(table["s"].to_pylist(), table["ids"].to_pylist(), strict=True)))
+    return _encoders[path]
