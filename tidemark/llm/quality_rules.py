@@ -30,7 +30,9 @@ MOST_RULES = 12
 MOST_LITERALS = 4
 THRESHOLDS = 48
 
-SPACE = r"\x20\x09-\x0D"
+#: One by one, as Java looks single characters of a class up in a table, but asks its ranges one after the other.
+SPACE = r"\x20\x09\x0A\x0B\x0C\x0D"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 FEATURES = ("n_words", "word_length", "symbol_share", "dup_line_share", "repeat_share", "words_a_line", "capital_share", "mark_share")
 
@@ -45,10 +47,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     first = docs.select(*keep, F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t")).select(
         *keep,
         F.regexp_extract_all(t, F.lit(f"[^{SPACE}]+"), F.lit(0)).alias("__w"),
-        F.regexp_extract_all(t, F.lit(rf"[^\n]*[^{SPACE}][^\n]*"), F.lit(0)).alias("__l"),
+        F.filter(F.split(t, "\n"), lambda line: line.rlike(f"[^{SPACE}]")).alias("__l"),
         F.length(F.regexp_replace(t, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(t, "[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace(t, "[^A-Z!]+", "")).cast("long").alias("__loud"),
+        F.length(F.regexp_replace(t, f"[^{CAPITALS}!]+", "")).cast("long").alias("__loud"),
         F.length(F.regexp_replace(t, "[^!]+", "")).cast("long").alias("n_marks"),
     )
     w = F.col("__w")
@@ -196,7 +198,9 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
     given = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "doc_id")
     # Written, so that the statistics are of these texts alone; a filter on them would be pushed below the join.
     rows = statistics(written(given, "labelled")).select(*FEATURES, (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(3)) == 0).alias("prunes"), "doc_id", "base_failed")
-    taken = sorted((r for r in rows.collect() if not r["base_failed"]), key=lambda r: (r["doc_id"], *r[: len(FEATURES)]))[:most]
+    # An id that stands in very many rows gives as many statistics; only so many rows, by their ids' hashes, come to the driver.
+    some = written(rows, "statistics").filter("NOT base_failed").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES).limit(most).collect()
+    taken = sorted(some, key=lambda r: (r["doc_id"], *r[: len(FEATURES)]))
     return cover([tuple(r)[: len(FEATURES) + 2] for r in taken])
 
 
