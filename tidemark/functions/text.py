@@ -53,7 +53,8 @@ FOLD_TO = "".join(plain * len(marked) for marked, plain in zip(_MARKED[::2], _MA
 
 def folded(text: Column) -> Column:
     """Lower-cased, Latin letters without marks."""
-    return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, FOLD_FROM, FOLD_TO))
 
 
 def index_tokens(text: Column) -> Column:

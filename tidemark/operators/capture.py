@@ -96,9 +96,10 @@ def cancellations_of(events: DataFrame) -> DataFrame:
 
 
 def mark_projected(projections: DataFrame, events: DataFrame, target: str, at: str) -> DataFrame:
-    """New success rows for events (id) that have none."""
-    rows = events.select(F.col("id").cast("string").alias("event_id")).distinct().withColumn("projection_id", short_id("proj_", F.lit("1"), F.col("event_id"), F.lit(target), F.lit("success")))
-    return rows.join(projections.select("projection_id"), "projection_id", "left_anti").select("projection_id", "event_id", F.lit(target).alias("target"), F.lit("success").alias("status"), F.lit(at).alias("projected_at"))
+    """New success rows for events (id, and projection_ref if they have one) that have none."""
+    ref = F.col("projection_ref") if "projection_ref" in events.columns else F.lit("")
+    rows = events.select(F.col("id").cast("string").alias("event_id"), F.coalesce(ref, F.lit("")).alias("projection_ref")).groupBy("event_id").agg(F.max("projection_ref").alias("projection_ref")).withColumn("projection_id", short_id("proj_", F.lit("1"), F.col("event_id"), F.lit(target), F.lit("success")))
+    return rows.join(projections.select("projection_id"), "projection_id", "left_anti").select("projection_id", "event_id", F.lit(target).alias("target"), F.lit("success").alias("status"), F.lit(at).alias("projected_at"), "projection_ref")
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:

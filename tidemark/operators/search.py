@@ -1,17 +1,19 @@
 """Lexical search by BM25, exact vector search, and their fusion.
 
-Scores of the index hold over the whole table, whatever is filtered later. A search is one pass over the texts for the
-counts (one row comes back) and one for the scores; only the top rows are ordered.
+Scores of the index hold over the whole table, whatever is filtered later. A search is one pass over the texts: it writes
+the rows that hold a term with their counts to the shared folder, and brings the counts of the whole table back as one row.
+Only the top rows are ordered.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import index_tokens, lexical_score, query_phrases
+from tidemark.runtime import written
 
 K1, B = 1.2, 0.75
 
@@ -27,10 +29,17 @@ def bm25(table: DataFrame, columns: tuple[str, ...], query: str) -> DataFrame:
     tokens = index_tokens(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
     if not phrases:
         return table.filter(F.lit(False)).withColumn("rank", F.lit(0.0)).withColumn("score", F.lit(0.0))
-    base = table.withColumn("__t", tokens)
-    base = base.withColumn("__n", F.size("__t").cast("long")).withColumn("__j", F.concat(F.lit(" "), F.array_join("__t", "  "), F.lit(" ")))
-    counted = base.drop("__t").select("*", *[_occurrences(F.col("__j"), p).alias(f"__f{i}") for i, p in enumerate(phrases)]).drop("__j")
-    stats = counted.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("__n"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(phrases))]).first()
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    spaced = lambda t: F.concat(F.lit(" "), F.array_join(t, "  "), F.lit(" "))
+    counts = let(tokens, lambda t: let(spaced(t), lambda j: F.struct(F.size(t).cast("long").alias("n"), *[_occurrences(j, p).alias(f"f{i}") for i, p in enumerate(phrases)])))
+    # A generator, as a filter on the counts isn't pushed below it and texts are cut into terms once.
+    base = table.select("*", F.explode(F.array(counts)).alias("__c"))
+    counted = base.select("*", F.col("__c.n").alias("__n"), *[F.col(f"__c.f{i}").alias(f"__f{i}") for i in range(len(phrases))]).drop("__c")
+    hit = reduce(lambda a, b: a | b, [F.col(f"__f{i}") > 0 for i in range(len(phrases))])
+    seen = Observation()
+    observed = counted.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("__n"), F.lit(0.0)).alias("mean"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"d{i}") for i in range(len(phrases))])
+    counted = written(observed.filter(hit), "terms")
+    stats = seen.get
     total = F.lit(0.0)
     for i in range(len(phrases)):
         df = F.lit(stats[f"d{i}"]).cast("double")
@@ -38,8 +47,7 @@ def bm25(table: DataFrame, columns: tuple[str, ...], query: str) -> DataFrame:
         idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
         tf = F.col(f"__f{i}").cast("double")
         total = total + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("__n") / F.lit(float(stats["mean"] or 1.0))))
-    hit = reduce(lambda a, b: a | b, [F.col(f"__f{i}") > 0 for i in range(len(phrases))])
-    out = counted.filter(hit).withColumn("rank", -total).drop("__n", *[f"__f{i}" for i in range(len(phrases))])
+    out = counted.withColumn("rank", -total).drop("__n", *[f"__f{i}" for i in range(len(phrases))])
     return out.withColumn("score", lexical_score(F.col("rank")))
 
 
@@ -111,7 +119,5 @@ def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.orderBy(*order)) - 1)
 
 
-
-
 def fused_order() -> list[Column]:
     return [F.col("rank_score").desc(), F.col("best").desc(), F.col("created_at").desc(), F.col("id").asc()]

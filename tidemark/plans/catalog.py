@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tidemark.plans import facts, journal, retrieval, scoped
+from tidemark.plans import documents, facts, journal, retrieval, scoped
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for module in (facts, journal, retrieval, scoped):
+for module in (documents, facts, journal, retrieval, scoped):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

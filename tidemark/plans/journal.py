@@ -142,11 +142,11 @@ def redact_text(spark, sf_dir):
 
 
 def objective_registry(spark, sf_dir):
-    """orders as objectives, their lines as runs of executors (suppliers)."""
-    orders = table(spark, sf_dir, "orders").filter("o_orderkey % 10 < 5")
-    made = objectives.objective_events(orders.select(F.concat(F.lit("o"), (F.col("o_orderkey") % 997).cast("string")).alias("objective_id"), F.lit("sales").alias("source"), F.col("o_custkey").cast("string").alias("session_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.lower("o_orderstatus").alias("status"), F.lit("").alias("detail"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderkey").alias("seq")))
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 20 < 10")
-    runs = objectives.run_events(lines.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 997).cast("string")).alias("objective_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("executor"), F.concat(F.lit("r"), (F.col("l_partkey") % 5).cast("string")).alias("run_id"), F.lit("plant").alias("source"), F.col("l_orderkey").cast("string").alias("session_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
+    """orders as objectives, lines as runs of executors (suppliers), under ids that overlap but for both ends."""
+    orders = table(spark, sf_dir, "orders")
+    made = objectives.objective_events(orders.select(F.concat(F.lit("o"), (F.col("o_orderkey") % 1009).cast("string")).alias("objective_id"), F.lit("sales").alias("source"), F.col("o_custkey").cast("string").alias("session_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.lower("o_orderstatus").alias("status"), F.lit("").alias("detail"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("created_at"), F.col("o_orderkey").alias("seq")))
+    lines = table(spark, sf_dir, "lineitem")
+    runs = objectives.run_events(lines.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 997 + 100).cast("string")).alias("objective_id"), F.concat(F.lit("s"), (F.col("l_suppkey") % 7).cast("string")).alias("executor"), F.concat(F.lit("r"), (F.col("l_partkey") % 5).cast("string")).alias("run_id"), F.lit("plant").alias("source"), F.col("l_orderkey").cast("string").alias("session_id"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("created_at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")))
     return objectives.registry(made.unionByName(runs, allowMissingColumns=True))
 
 
@@ -202,8 +202,8 @@ ORACLES = {
         (SELECT count(*) FROM events WHERE event_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)) AS pending, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM embeddings) AS embeddings, 0 AS traces, 5 AS schema_version""",
     "redact_text": """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'a [REDACTED:api-key] b' WHEN 1 THEN '[REDACTED:bearer-token]' WHEN 2 THEN '[REDACTED:bot-token]' WHEN 3 THEN '{"token": "[REDACTED:secret-field]"}' WHEN 4 THEN 'MY_API_KEY=[REDACTED:secret-assignment]'
         ELSE 'plain ' || lpad(CAST(doc_id AS VARCHAR), 8, '0') END AS made, sha256(text) AS text_sha256 FROM documents""",
-    "objective_registry": """WITH o AS (SELECT 'o' || (o_orderkey % 997) AS objective_id, 'order ' || o_orderkey AS title, lower(o_orderstatus) AS status, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS seq FROM orders WHERE o_orderkey % 10 < 5),
-        r AS (SELECT 'o' || (l_orderkey % 997) AS objective_id, 's' || (l_suppkey % 7) || ':' || 'r' || (l_partkey % 5) AS run FROM lineitem WHERE l_orderkey % 20 < 10),
+    "objective_registry": """WITH o AS (SELECT 'o' || (o_orderkey % 1009) AS objective_id, 'order ' || o_orderkey AS title, lower(o_orderstatus) AS status, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderkey AS seq FROM orders),
+        r AS (SELECT 'o' || (l_orderkey % 997 + 100) AS objective_id, 's' || (l_suppkey % 7) || ':' || 'r' || (l_partkey % 5) AS run FROM lineitem),
         lo AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY objective_id ORDER BY day DESC, seq DESC) AS n FROM o) WHERE n = 1),
         lr AS (SELECT objective_id, string_agg(DISTINCT run, ',' ORDER BY run) AS runs FROM r GROUP BY objective_id)
         SELECT coalesce(lo.objective_id, lr.objective_id) AS objective_id, coalesce(title, '') AS title, coalesce(status, 'unknown') AS status, CASE WHEN title IS NULL THEN 'plant' ELSE 'sales' END AS source, coalesce(runs, '') AS runs FROM lo FULL JOIN lr ON lo.objective_id = lr.objective_id""",

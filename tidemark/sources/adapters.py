@@ -90,3 +90,22 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("event_id"), F.col("embedding").cast("array<double>").alias("vector"), "label")
+
+
+def linked_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as those of a store; two of three are linked with the event of the same number."""
+    d = table(spark, sf_dir, "documents")
+    n, number = F.col("doc_id"), F.col("doc_id").cast("string")
+    named = F.when(n % 4 == 0, F.concat(F.lit('{"event_id": "'), number, F.lit('"}'))).when(n % 4 == 1, F.lit('{"a": [{"memoryEventId": "other"}]}')).when(n % 4 == 2, F.lit('{"eventId": ""}'))
+    return d.select(
+        "doc_id",
+        F.col("text").alias("content"),
+        F.col("lang").alias("wing"),
+        F.col("source").alias("room"),
+        F.when(n % 6 == 0, "x").otherwise(F.concat(F.lit("f"), number)).alias("source_file"),
+        F.when(n % 3 != 0, n).alias("event_id"),
+        F.when(n % 5 == 0, "").otherwise(F.col("source")).alias("event_source"),
+        F.when(n % 7 == 0, "").otherwise(F.col("lang")).alias("event_session_id"),
+        F.lit("2026").alias("indexed_at"),
+        named.alias("metadata_json"),
+    )

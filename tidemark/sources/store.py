@@ -16,7 +16,7 @@ SCHEMAS = {
     "events": "id string, event_type string, producer string, source string, source_ref string, session_id string, message_id string, role string, wing string, room string, privacy_scope string, status string, provenance_json string, content string, content_sha256 string, created_at string, captured_at string, metadata_json string, source_profile string, source_platform string, source_chat_id string, source_user_id string, source_topic_id string, source_session_id string, scope_kind string, authorization_version int, seq long",
     "supersessions": "superseded_event_id string, superseding_event_id string, recorded_at string",
     "cancellations": "superseded_event_id string, superseding_event_id string, cancellation_event_id string, recorded_at string",
-    "projections": "projection_id string, event_id string, target string, status string, projected_at string",
+    "projections": "projection_id string, event_id string, target string, status string, projected_at string, projection_ref string",
     "embeddings": "event_id string, model string, model_digest string, dimensions int, vector_sha256 string, vector array<double>, projected_at string",
     "documents": "doc_id string, content string, content_sha256 string, wing string, room string, source_file string, event_id string, indexed_at string, metadata_json string",
     "traces": "trace_id string, query_sha256 string, query_preview string, consumer string, session_id string, source string, result_ids array<string>, result_count int, created_at string",
@@ -151,10 +151,13 @@ def export_jsonl(events: DataFrame, before: str, path: str) -> None:
 
 
 def sync_collection(documents: DataFrame, collection: DataFrame, projections: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
-    """A full refresh from a collection (doc_id, content, wing, room, source_file): the new documents, and stale ids."""
+    """A full refresh from a collection (doc_id, content, wing, room, source_file): the new documents, and stale ids.
+
+    A document belongs to the event that was last projected to its source file (ties: the greatest id).
+    """
     from tidemark.operators.capture import upsert_documents
 
-    refs = projections.filter("status = 'success'").groupBy(F.col("projection_ref").alias("source_file")).agg(F.max_by("event_id", "projected_at").alias("event_id"))
+    refs = projections.filter("status = 'success' AND coalesce(projection_ref, '') <> ''").groupBy(F.col("projection_ref").alias("source_file")).agg(F.max(F.struct("projected_at", "event_id"))["event_id"].alias("event_id"))
     rows = collection.join(refs, "source_file", "left")
     stale = documents.select("doc_id").join(collection.select("doc_id"), "doc_id", "left_anti")
     return upsert_documents(documents.join(stale, "doc_id", "left_anti"), rows, at), stale
@@ -163,7 +166,10 @@ def sync_collection(documents: DataFrame, collection: DataFrame, projections: Da
 def documents_by_ids(documents: DataFrame, ids: DataFrame, events: DataFrame, superseded: DataFrame) -> DataFrame:
     """Documents of some ids, with whether the event they come from is superseded."""
     flags = superseded.select(F.col("id").alias("event_id"), F.lit(True).alias("__s"))
-    rows = documents.join(ids, "doc_id", "left_semi").join(events.select(F.col("id").alias("event_id"), F.col("source").alias("event_source"), F.col("session_id").alias("event_session_id")), "event_id", "left").join(flags, "event_id", "left")
+    # What a document says of its event itself stays.
+    names = [(have, name) for have, name in (("source", "event_source"), ("session_id", "event_session_id")) if name not in documents.columns]
+    linked = events.select(F.col("id").alias("event_id"), *[F.col(have).alias(name) for have, name in names])
+    rows = documents.join(ids, "doc_id", "left_semi").join(linked, "event_id", "left").join(flags, "event_id", "left")
     return rows.withColumn("superseded", F.coalesce("__s", F.lit(False))).drop("__s")
 
 

@@ -2,39 +2,48 @@
 
 ``capture_stream`` appends new events to a Parquet table batch by batch: identity makes a repeated delivery a no-op.
 ``lineage_stream`` only stores the facts as they arrive, however late, by bucket of lineage; nothing is dropped and nothing is
-recomputed in the stream. ``stored_lineages`` reconciles on reading: all stored rows, or those of given lineages by a join.
+recomputed in the stream. ``stored_lineages`` reconciles on reading: all stored rows, or those of given lineages, for which
+only the buckets that hold them are read.
+
+An epoch that is run again, as it was not committed, writes its own folder anew; what that folder holds doesn't count as known.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.operators.lineage import reconcile
 
 BUCKETS = 64
 
 
+def _stored(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
+    """The rows of all epochs; schema: with the columns of the folders."""
+    try:
+        return spark.read.schema(schema).parquet(root)
+    except Exception as error:
+        if "PATH_NOT_FOUND" in str(error):
+            return None
+        raise
+
+
+def _bucket():
+    return F.pmod(F.xxhash64("entity_id", "lineage_key"), F.lit(BUCKETS)).cast("int")
+
+
 def capture_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "id"):
     """Starts a query that appends the events of a stream that the table lacks."""
 
     def add(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates([key])
-        known = _stored(spark, path, batch)
+        known = _stored(spark, path, T.StructType([*batch.schema, T.StructField("epoch", T.LongType())]))
         if known is not None:
-            new = new.join(known.select(key), key, "left_anti")
-        # An epoch that is run again writes to its own folder again, so the result is the same.
+            new = new.join(known.filter(F.col("epoch") != epoch).select(key), key, "left_anti")
         new.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    def _stored(spark: SparkSession, root: str, like: DataFrame) -> DataFrame | None:
-        try:
-            return spark.read.schema(like.schema).option("recursiveFileLookup", "true").parquet(root)
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -42,15 +51,20 @@ def lineage_stream(stream: DataFrame, path: str, checkpoint: str):
     """Starts a query that stores facts by bucket of lineage, each epoch in a folder of its own."""
 
     def add(batch: DataFrame, epoch: int) -> None:
-        rows = batch.withColumn("bucket", F.pmod(F.xxhash64("entity_id", "lineage_key"), F.lit(BUCKETS)).cast("int"))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        batch.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stored_lineages(spark: SparkSession, path: str, schema, touched: DataFrame | None = None) -> DataFrame:
     """The reconciled facts of a stored stream; touched: only of these lineages (entity_id, lineage_key)."""
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path).dropDuplicates(["fact_id"])
+    names = [f.name for f in schema]
+    rows = _stored(spark, path, T.StructType([*schema, T.StructField("epoch", T.LongType()), T.StructField("bucket", T.IntegerType())]))
+    if rows is None:
+        return reconcile(spark.createDataFrame([], schema))
     if touched is not None:
-        rows = rows.join(touched, ["entity_id", "lineage_key"], "left_semi")
-    return reconcile(rows)
+        touched = touched.select("entity_id", "lineage_key").distinct().withColumn("bucket", _bucket())
+        held = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
+        rows = rows.filter(F.col("bucket").isin(*held)) if held else rows.filter(F.lit(False))
+        rows = rows.join(touched, ["bucket", "entity_id", "lineage_key"], "left_semi")
+    return reconcile(rows.select(*names).dropDuplicates(["fact_id"]))
