@@ -48,7 +48,8 @@ THRESHOLD = 0.9
 MOST_TEMPLATES, MOST_WORDS = 1000, 2000
 WINDOWS = 2
 
-SEP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+#: One by one, as Java looks single characters of a class up in a table, but asks its ranges one after the other.
+SEP = "".join(rf"\x{c:02X}" for c in range(128) if not chr(c).isalnum())
 WORD = f"[^{SEP}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PYTHON_WORD = re.compile(WORD)
