@@ -181,3 +181,23 @@ def test_chat_control_strings_come_back(spark):
 
 def test_shared_folder(spark):
     assert fresh_path(spark, "x").startswith("file://")
+
+
+def test_places_of_many_streams_cut_as_one_by_one(monkeypatch):
+    monkeypatch.setattr(token_store, "IDS_AT_ONCE", 3000)
+    gear, rng = token_store.gear_table(1000), np.random.default_rng(2)
+    streams = [rng.integers(0, 1000, n).astype("<u4") for n in (1, 5000, 64, 65, 900, 1200, 1, 700)]
+    found = [token_store.ends_of(len(x), p) for x, p in zip(streams, token_store._places_of([x.tobytes() for x in streams], gear), strict=True)]
+    assert found == [token_store.cut(x, gear) for x in streams]
+
+
+def test_a_recipe_that_is_missing_or_changed_is_found(spark, path, odd_rows):
+    from tidemark.runtime import dropped
+
+    folder = token_store.write_store(odd_rows, path, 2, files=2)
+    token_store.verify_manifest(spark, folder)
+    rows = spark.createDataFrame(spark.read.parquet(f"{folder}/recipes").collect()[1:], spark.read.parquet(f"{folder}/recipes").schema)
+    dropped(spark, f"{folder}/recipes")
+    rows.write.parquet(f"{folder}/recipes")
+    with pytest.raises(ValueError):
+        token_store.read_store(spark, folder)

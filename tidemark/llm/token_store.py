@@ -31,9 +31,10 @@ import functools
 import hashlib
 import os
 import re
-import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +54,7 @@ PACK_BYTES = 64 << 20
 #: Places in a pack with at most so many bytes between them are read at once.
 GAP = 1 << 16
 ROWS_AT_ONCE = 1024
+IDS_AT_ONCE = 1_000_000
 
 
 def gear_table(vocabulary: int) -> np.ndarray:
@@ -76,12 +78,20 @@ def rolling(ids: np.ndarray, gear: np.ndarray) -> np.ndarray:
 
 def cut(ids: np.ndarray, gear: np.ndarray, bits: int = 9, least: int = 64, most: int = 4096) -> list[int]:
     """The ends of the chunks: 2**bits ids on average, at least and at most so many (the last may be shorter)."""
-    n = len(ids)
+    return ends_of(len(ids), low_places(ids, gear, bits).tolist() if len(ids) > least else [], least, most)
+
+
+def low_places(ids: np.ndarray, gear: np.ndarray, bits: int = 9) -> np.ndarray:
+    """The places behind an id where the hash's bits are zero."""
+    return np.flatnonzero(rolling(ids, gear) >> np.uint64(64 - bits) == 0) + 1
+
+
+def ends_of(n: int, places: list[int], least: int = 64, most: int = 4096) -> list[int]:
+    """The ends of the chunks of n ids, from the places where the hash's bits are zero."""
     if n <= least:
         return [n]
-    high = rolling(ids, gear) >> np.uint64(64 - bits)
     ends, start = [], 0
-    for p in (np.flatnonzero(high == 0) + 1).tolist():
+    for p in places:
         while p - start > most:
             start += most
             ends.append(start)
@@ -132,6 +142,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.token_bytes = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
         self.most = most
@@ -143,14 +154,25 @@ class WordEncoder:
 
     def plain_word(self, word: str) -> bytes | None:
         """The ids of a space and a word of Latin letters, with one of MARKS behind them or not; else null."""
-        if not self.lettered or max(word) >= "\u0250":
+        if not self.lettered:
             return None
-        core, mark = (word, b"") if word.isalpha() else (word[:-1], self.marks.get(word[-1]))
-        if mark is None or not core.isalpha():
+        core, mark = word, b""
+        if not word.isalpha():
+            core, mark = word[:-1], self.marks.get(word[-1:])
+            if mark is None or not core.isalpha():
+                return None
+            if (ids := self.words.get(core)) is not None:
+                return ids + mark
+        if core.isascii():
+            signs = "\u0120" + core
+        elif max(core) < "\u0250":
+            signs = "\u0120" + core.encode().decode("latin-1").translate(BYTE_SIGNS)
+        else:
             return None
-        signs = "\u0120" + (core if core.isascii() else core.encode().decode("latin-1").translate(BYTE_SIGNS))
-        ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids) + mark
+        ids = array("I", [t.id for t in self.model.tokenize(signs)])
+        if sys.byteorder != "little":
+            ids.byteswap()
+        return ids.tobytes() + mark
 
     def irregular(self, text: str) -> bool:
         if "  " in text or " \n" in text or "\n " in text or text[0] == " " or text[-1] == " ":
@@ -228,6 +250,21 @@ def _gear(vocabulary: int) -> np.ndarray:
     return gear_table(vocabulary)
 
 
+def _places_of(streams: list[bytes], gear: np.ndarray) -> Iterator[list[int]]:
+    """low_places() of each stream, of many at once: where ids of the stream before are within the window, no chunk may end."""
+    at = 0
+    while at < len(streams):
+        size, stop = len(streams[at]), at + 1
+        while stop < len(streams) and size + len(streams[stop]) <= IDS_AT_ONCE * 4:
+            size, stop = size + len(streams[stop]), stop + 1
+        places = low_places(np.frombuffer(b"".join(streams[at:stop]), "<u4"), gear)
+        ends = np.cumsum([len(x) // 4 for x in streams[at:stop]])
+        cuts = [0, *np.searchsorted(places, ends, "right").tolist()]
+        for i, start in enumerate([0, *ends[:-1].tolist()]):
+            yield (places[cuts[i] : cuts[i + 1]] - start).tolist()
+        at = stop
+
+
 STAGED = pa.schema([("kind", pa.int8()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("names", pa.binary()), ("root", pa.binary()), ("name", pa.binary()), ("pack", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
 STAGED_SQL = "kind tinyint, doc_id long, n_tokens long, names binary, root binary, name binary, pack string, at long, size long"
 PLACES_SQL = "name binary, pack string, at long, size long"
@@ -311,11 +348,12 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None
         rows: list[tuple] = []
         packs, zipper = _Packs(f"{folder}/staged-packs"), zstandard.ZstdCompressor(level=1)
         for batch in (whole.slice(at, TEXTS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, TEXTS_AT_ONCE)):
-            for doc_id, encoded in zip(batch.column("doc_id").to_pylist(), encoder.encode_many([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = np.frombuffer(encoded + end, "<u4")
-                data = ids.astype("<u2").tobytes() if width == 2 else ids.tobytes()
+            streams = [x + end for x in encoder.encode_many([t or "" for t in batch.column("text").to_pylist()])]
+            for doc_id, stream, places in zip(batch.column("doc_id").to_pylist(), streams, _places_of(streams, gear), strict=True):
+                ids = np.frombuffer(stream, "<u4")
+                data = ids.astype("<u2").tobytes() if width == 2 else stream
                 names, start = [], 0
-                for stop in cut(ids, gear):
+                for stop in ends_of(len(ids), places):
                     part = data[start * width : stop * width]
                     name, start = hashlib.sha256(part).digest(), stop
                     names.append(name)
