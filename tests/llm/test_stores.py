@@ -201,3 +201,19 @@ def test_a_recipe_that_is_missing_or_changed_is_found(spark, path, odd_rows):
     rows.write.parquet(f"{folder}/recipes")
     with pytest.raises(ValueError):
         token_store.read_store(spark, folder)
+
+
+def test_streamed_logs_fold_back(spark):
+    texts = [None, "", "a", "é\U0001f642x", "\\<#", "two\nlines"]
+    data = [(c, t, r, x) for c in (1, None) for t, x in enumerate(texts) for r in ("user", "assistant", None)] + [(1, 0, "user", "a")] * 2 + [(2, None, "assistant", "z")]
+    rows = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    from tidemark.llm.chat_format import loss_text, streamed
+
+    read = lambda log: {r.conv_id: ([tuple(t) for t in r.t], r.loss) for r in format_chats(fold_events(log)).select("conv_id", read_back(F.col("formatted")).alias("t"), loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()}
+    found = read(streamed(rows))
+    for conv in (1, None, 2):
+        # Ties of a turn go by role and text, nulls first.
+        own = sorted((t is not None, t or 0, r is not None, r or "", x is not None, x or "") for c, t, r, x in data if c == conv)
+        turns = [(x[3], x[5]) for x in own]
+        assert found[conv] == (turns, "".join(x for r, x in turns if r == "assistant"))
+    assert streamed(rows.limit(0)).count() == 0

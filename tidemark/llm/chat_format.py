@@ -43,6 +43,27 @@ def events_of_rows(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("turn").alias("message_id"), "role", "text")
 
 
+def streamed(rows: DataFrame) -> DataFrame:
+    """The same turns as a log of how they may have come about; folding it gives them back.
+
+    A user's text is first sent with a slip and then edited. An assistant's is opened empty, a first answer is streamed and
+    dropped by a regeneration, and the final text is streamed in two deltas. Rows of one turn keep apart by their number.
+    """
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    numbered = rows.select("conv_id", n.cast("long").alias("message_id"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    half = (F.length("text") / 2).cast("int")
+    kind = lambda name, text: F.struct(F.lit(name).alias("kind"), text.alias("text"))
+    answer = F.array(kind("message", F.lit("")), kind("delta", F.concat(F.lit("draft: "), F.col("text"))), kind("regenerate", F.lit("")), kind("delta", F.substring(F.col("text"), F.lit(1), half)), kind("delta", F.substring(F.col("text"), half + 1, F.length("text"))))
+    said = F.array(kind("message", F.concat(F.lit("slip: "), F.col("text"))), kind("edit", F.col("text")))
+    steps = F.posexplode(F.when(F.col("role") == "assistant", answer).otherwise(said)).alias("step", "e")
+    return numbered.select("conv_id", "message_id", "role", steps).select("conv_id", (F.col("message_id") * 8 + F.col("step")).alias("seq"), "e.kind", "message_id", "role", "e.text")
+
+
+def loss_text(formatted: Column, spans: Column) -> Column:
+    """The text under the loss mask, unescaped."""
+    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))), "")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """One row per final message: conv_id, first_seq, message_id, number, role, text."""
     kind = F.when(F.col("kind").isin("delta", "edit", "regenerate"), F.col("kind")).otherwise("message")

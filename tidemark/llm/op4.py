@@ -1,11 +1,12 @@
-"""Query op4_chat_format: all conversations and one whose texts hold control strings, formatted and read back."""
+"""Query op4_chat_format: all conversations, as logs of deltas, edits and regenerations, and one whose texts hold control
+strings, formatted and read back; the loss columns come from the loss mask."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.chat_format import events_of_rows, fold_events, format_chats, read_back
+from tidemark.llm.chat_format import fold_events, format_chats, loss_text, read_back, streamed
 from tidemark.runtime import table
 
 NAME = "op4_chat_format"
@@ -27,9 +28,9 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trap = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(TRAP).alias("text"))
-    chats = format_chats(fold_events(events_of_rows(rows.unionByName(trap))))
-    turns = chats.select("conv_id", "formatted", read_back(F.col("formatted")).alias("turns"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    chats = format_chats(fold_events(streamed(rows.unionByName(trap))))
+    turns = chats.select("conv_id", "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
+    loss = loss_text(F.col("formatted"), F.col("loss_spans"))
     all_turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     done = turns.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(all_turns, 256).alias("turns_sha256"), loss.alias("loss"), F.length("formatted").cast("long").alias("formatted_chars"))
     return done.select("conv_id", "n_turns", "turns_sha256", F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), "formatted_chars")
