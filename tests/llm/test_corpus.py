@@ -249,3 +249,40 @@ def test_pipeline_takes_odd_rows(spark, sf_dir, odd_rows):
         assert stage(spark, docs, sf_dir).count() == docs.count()
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert corpus_pipeline.STAGES[0][1](spark, docs, sf_dir).count() == 0
+
+
+def test_near_duplicates_recall_of_unequal_sets(spark):
+    """At sf0.1, against all links of different shingle sets, by prefix filtering over shingles."""
+    import math
+
+    import numpy as np
+
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in sorted(docs.collect()):
+        if words := words_of(r.text):
+            sets.setdefault(simhash_forest.shingle_hashes(words).tobytes(), r.doc_id)
+    sets = {d: np.frombuffer(s, np.uint64) for s, d in sets.items()}
+    values, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    holders = collections.defaultdict(list)
+    for d, s in sets.items():
+        n = counts[np.searchsorted(values, s)]
+        first = np.lexsort((s, n))[: len(s) - math.ceil(0.8 * len(s) - 1e-9) + 1]
+        for h in s[first][n[first] > 1].tolist():
+            holders[h].append(d)
+    pairs = {p for h in holders.values() for p in itertools.combinations(h, 2)}
+    links = [(a, b) for a, b in pairs if simhash_forest.jaccard(sets[a], sets[b]) >= 0.8 - 1e-12]
+    found = {r.doc_id: r.class_id for r in simhash_forest.near_duplicates(docs).collect()}
+    assert len(links) >= 50 and sum(found[a] == found[b] for a, b in links) >= 0.95 * len(links)
+
+
+def test_statistics_of_very_long_blank_lines(spark):
+    rows = [(1, " " * 1_000_000 + "\nx y\n x y \nx y"), (2, "\n" * 200_000), (3, "a\r\n\na")]
+    found = quality_rules.statistics(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.n_words, r.n_lines, r.n_dup_lines) for r in found] == [(6, 3, 1), (0, 0, 0), (2, 2, 0)]
+
+
+def test_labelled_rows_of_one_id_are_bounded(spark):
+    docs = spark.createDataFrame([(7, f"word{i} " * 60) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(7, 0)], "doc_id long, quality int")
+    assert isinstance(quality_rules.learn(docs, labels, most=20), quality_rules.Rules)
