@@ -32,6 +32,15 @@ def test_guards(tables):
     assert ids(documents.admissible(tables[0].limit(0), *tables[1:])) == ""
 
 
+def test_unscoped_documents_by_metadata(spark, tables):
+    metadata = {"a": None, "b": "", "c": "bad", "d": "{}", "e": '{"scope_kind": "topic"}', "f": '{"a": {"event_id": 2}}', "g": '{"event_id": 1}'}
+    docs = spark.createDataFrame([(k, "x", "w", "r", "f", 1, None, None, "1", v) for k, v in metadata.items()], DOCS)
+    done = spark.createDataFrame([(1, "index", "success", "f")], "event_id long, target string, status string, projection_ref string")
+    shown = documents.unscoped_documents(docs, *tables[1:], done)
+    assert ids(shown) == "adg" and sorted(shown.columns) == sorted(docs.columns)
+    assert [r.metadata_json for r in shown.filter("doc_id = 'a'").collect()] == [None]
+
+
 def test_search_lists_only_what_is_shown(tables):
     assert ids(documents.documents_top(tables[0], documents.admissible(*tables), "xx")) == ""
     longer = tables[0].withColumn("content", tables[0]["wing"])

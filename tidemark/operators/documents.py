@@ -99,7 +99,8 @@ def admissible(
 
 def unscoped_documents(documents: DataFrame, events: DataFrame, edges: DataFrame, cancellations: DataFrame, projections: DataFrame, target: str = "index", guarded: tuple[str, ...] = (), metadata: str | None = None) -> DataFrame:
     """Documents that carry no access scope: linked with a current event without one, of the same source, that was projected
-    to the document's file, and whose own metadata neither carries a scope nor names another event. In doubt one stays out."""
+    to the document's file, and whose own metadata neither carries a scope nor names another event. In doubt one stays out;
+    metadata that are null are those of a document stored without any, "{}", and leave no doubt."""
     ship(documents.sparkSession)
     current = events.filter(~is_control(metadata=metadata)).join(superseded_ids(edges, cancellations), "id", "left_anti")
     current = unscoped(current, guarded).select(F.col("id").alias("__id"), F.col("source").alias("__source"))
@@ -107,8 +108,9 @@ def unscoped_documents(documents: DataFrame, events: DataFrame, edges: DataFrame
     done = done.select(F.col("event_id").alias("__id"), F.col("projection_ref").alias("source_file")).distinct()
     rows = documents.join(current, F.col("event_id") == F.col("__id")).join(done, ["__id", "source_file"], "left_semi")
     rows = rows.filter((F.coalesce("event_source", F.lit("")) == "") | (F.col("event_source") == F.col("__source")))
-    rows = unscoped(rows.drop("__source"), guarded, ("metadata_json",))
-    return rows.filter(~_contradicts_udf()(F.col("metadata_json"), F.col("event_id").cast("string"))).drop("__id")
+    rows = rows.drop("__source").withColumn("__metadata", F.coalesce("metadata_json", F.lit("{}")))
+    rows = unscoped(rows, guarded, ("__metadata",))
+    return rows.filter(~_contradicts_udf()(F.col("metadata_json"), F.col("event_id").cast("string"))).drop("__id", "__metadata")
 
 
 def documents_top(documents: DataFrame, shown: DataFrame, query: str, limit: int = 20, columns: tuple[str, ...] = ("content", "wing", "room")) -> DataFrame:
