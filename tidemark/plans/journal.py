@@ -9,7 +9,7 @@ from tidemark.functions.text import STOP_WORDS, redact, structural_tokens, token
 from tidemark.operators import capture, lifecycle, objectives
 from tidemark.operators.stats import store_stats as stats_of
 from tidemark.plans.facts import ISO
-from tidemark.runtime import fresh_path, table
+from tidemark.runtime import fresh_path, spread, table, written
 from tidemark.sources import adapters
 from tidemark.sources.store import export_before as exported
 
@@ -151,8 +151,9 @@ def objective_registry(spark, sf_dir):
 
 
 def text_similarity(spark, sf_dir):
-    """Each document and the next one."""
-    d = table(spark, sf_dir, "documents").select("doc_id", structural_tokens(F.col("text")).alias("t"))
+    """Each document and the next one. Tokens are made once and written, as both sides of the join read them."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    d = written(d.select("doc_id", structural_tokens(F.col("text")).alias("t")), "tokens")
     n = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("t").alias("u"))
     return d.join(n, "doc_id").select("doc_id", F.round(token_similarity(F.col("t"), F.col("u")), 6).alias("similarity"))
 

@@ -72,6 +72,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The rows dealt over all tasks, for costly work on each: a Parquet file may be one row group, which is one task."""
+    return df.repartition(key)
+
+
 _shipped: set[str] = set()
 
 
