@@ -53,3 +53,7 @@ def test_text_similarity_makes_tokens_once(spark, sf_dir):
 
 def test_support_deals_texts_over_tasks(spark, sf_dir):
     assert "Exchange hashpartitioning(doc_id" in plan(catalog.QUERIES["query_support"](spark, sf_dir))
+
+
+def test_redaction_deals_texts_over_tasks(spark, sf_dir):
+    assert "Exchange hashpartitioning(doc_id" in plan(catalog.QUERIES["redact_text"](spark, sf_dir))

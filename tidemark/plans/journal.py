@@ -138,7 +138,7 @@ def redact_text(spark, sf_dir):
     """Documents, and texts made of their numbers that hold a secret of each kind."""
     n = F.lpad(F.col("doc_id").cast("string"), 8, "0")
     secret = F.element_at(F.array(F.concat(F.lit("a sk-"), n, n, n, F.lit(" b")), F.concat(F.lit("Bearer "), n, n, n), F.concat(n, F.lit(":"), n, n, n, n), F.concat(F.lit('{"token": "'), n, F.lit('"}')), F.concat(F.lit("MY_API_KEY="), n), F.concat(F.lit("plain "), n)), (F.col("doc_id") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "documents").select("doc_id", redact(secret).alias("made"), F.sha2(redact(F.col("text")), 256).alias("text_sha256"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", redact(secret).alias("made"), F.sha2(redact(F.col("text")), 256).alias("text_sha256"))
 
 
 def objective_registry(spark, sf_dir):
