@@ -57,3 +57,14 @@ def test_support_deals_texts_over_tasks(spark, sf_dir):
 
 def test_redaction_deals_texts_over_tasks(spark, sf_dir):
     assert "Exchange hashpartitioning(doc_id" in plan(catalog.QUERIES["redact_text"](spark, sf_dir))
+
+
+def test_clean_of_columns(spark):
+    df = spark.createDataFrame([(x,) for x in (*TEXTS, "a\0b", "\0 sk-x ")], "t string").select("t", T.clean_column(F.col("t")), bare_clean(F.col("t")))
+    for t, a, b in df.collect():
+        assert a == b, t
+
+
+def test_registry_parses_a_row_once(spark, sf_dir):
+    made = plan(catalog.QUERIES["objective_registry"](spark, sf_dir))
+    assert "json_tuple" in made and "get_json_object" not in made

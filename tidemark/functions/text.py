@@ -57,18 +57,29 @@ def _replaced(text: Column, anchor: Callable[[Column], Column], pattern: str, by
     return _bound(text, lambda t: F.when(anchor(t), F.regexp_replace(t, pattern, by)).otherwise(t))
 
 
+def _field(t: Column) -> Column:
+    return _any(t, '"') & t.rlike(r'"\s*:\s*"')
+
+
+def _assignment(t: Column) -> Column:
+    return _any(t, "=") & _any(t, "PASSWORD", "SECRET", "TOKEN", "API_KEY")
+
+
 def redact(text: Column) -> Column:
     """Secrets replaced by [REDACTED:kind]; what is redacted already stays."""
     for (kind, pattern), anchor in zip(SECRETS, ANCHORS, strict=True):
         text = _replaced(text, anchor, pattern, f"[REDACTED:{kind}]")
-    text = _replaced(text, lambda t: _any(t, '"') & t.rlike(r'"\s*:\s*"'), FIELD, "$1[REDACTED:secret-field]$2")
-    return _replaced(text, lambda t: _any(t, "=") & _any(t, "PASSWORD", "SECRET", "TOKEN", "API_KEY"), ASSIGNMENT, "$1[REDACTED:secret-assignment]")
+    text = _replaced(text, _field, FIELD, "$1[REDACTED:secret-field]$2")
+    return _replaced(text, _assignment, ASSIGNMENT, "$1[REDACTED:secret-assignment]")
+
+
+def _ends(t: Column) -> Column:
+    return F.substring(t, 1, 1).rlike(r"\s") | F.substring(t, -3, 3).rlike(r"\s$")
 
 
 def trimmed(text: Column) -> Column:
     """The pattern starts once in a run of spaces and only where an end has one; $ may stand before a last line end of two characters."""
-    ends = lambda t: F.substring(t, 1, 1).rlike(r"\s") | F.substring(t, -3, 3).rlike(r"\s$")
-    return _replaced(text, ends, r"^\s+|(?<!\s)\s+$", "")
+    return _replaced(text, _ends, r"^\s+|(?<!\s)\s+$", "")
 
 
 def clean(text: Column) -> Column:
@@ -76,6 +87,17 @@ def clean(text: Column) -> Column:
     return trimmed(redact(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\0"), F.lit("\ufffd"))))
 
 
+def clean_column(text: Column) -> Column:
+    """clean() of a plain column of short texts: one compiled test finds those that need nothing. It names the column many times.
+
+    No replacement makes an anchor of another pattern, so the test on the text as it comes is enough."""
+    raw = F.coalesce(text.cast("string"), F.lit(""))
+    needs = _any(raw, "\0") | _ends(raw) | _field(raw) | _assignment(raw)
+    for anchor in ANCHORS:
+        needs = needs | anchor(raw)
+    return F.when(needs, clean(raw)).otherwise(raw)
+
+
 #: Latin letters with marks, and what is left without them. Other scripts stay as they are.
 _MARKED = (
     "áàâäãåāăąǎ a éèêëēĕėęě e íìîïĩīĭįǐ i óòôöõōŏőǒ o úùûüũūŭůűųǔ u ýÿŷ y çćĉċč c ñńņň n śŝşš s źżž z ĝğġģ g ďđ d ĺļľ l ŕŗř r ţťț t ĥ h ĵ j ķ k ŵ w"

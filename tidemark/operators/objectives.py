@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import clean
+from tidemark.functions.text import clean_column
 from tidemark.operators.identity import EXTERNAL_ID
 
 
 def objective_events(rows: DataFrame) -> DataFrame:
     """Rows (objective_id, source, session_id, title, status, detail) as events."""
-    title, status = clean(F.col("title")), F.coalesce(F.nullif(clean(F.col("status")), F.lit("")), F.lit("active"))
-    meta = F.to_json(F.struct(F.array().cast("array<string>").alias("constraints"), clean(F.col("detail")).alias("detail"), F.col("objective_id"), F.create_map().cast("map<string,string>").alias("provenance"), status.alias("status"), title.alias("title")))
+    title, status = clean_column(F.col("title")), F.coalesce(F.nullif(clean_column(F.col("status")), F.lit("")), F.lit("active"))
+    meta = F.to_json(F.struct(F.array().cast("array<string>").alias("constraints"), clean_column(F.col("detail")).alias("detail"), F.col("objective_id"), F.create_map().cast("map<string,string>").alias("provenance"), status.alias("status"), title.alias("title")))
     out = rows.filter(F.col("objective_id").rlike(EXTERNAL_ID)).withColumn("metadata_json", meta).withColumn("content", title)
     identity = F.concat(F.lit('{"metadata":'), F.col("metadata_json"), F.lit(',"sessionId":'), F.to_json(F.array("session_id")), F.lit(',"source":'), F.to_json(F.array("source")), F.lit("}"))
     return out.filter("content <> ''").withColumn("id", F.concat(F.lit("objective_"), F.sha2(identity, 256))).withColumn("event_type", F.lit("objective"))
@@ -30,8 +30,9 @@ def run_events(rows: DataFrame) -> DataFrame:
 
 def registry(events: DataFrame) -> DataFrame:
     """objective_id, title, status, source and runs: the last objective event rules; runs are distinct and sorted."""
-    get = lambda k: F.get_json_object("metadata_json", f"$.{k}")
-    rows = events.filter(F.col("event_type").isin("objective", "external_run_reference")).select("event_type", "source", "content", "created_at", "seq", get("objective_id").alias("objective_id"), get("title").alias("title"), get("status").alias("status"), get("executor").alias("executor"), get("run_id").alias("run_id"))
+    # One parse of a row's JSON instead of one for each key, and none again in a filter that moves below.
+    keys = ("objective_id", "title", "status", "executor", "run_id")
+    rows = events.filter(F.col("event_type").isin("objective", "external_run_reference")).select("event_type", "source", "content", "created_at", "seq", F.json_tuple("metadata_json", *keys).alias(*keys))
     rows = rows.filter(F.col("objective_id").rlike(EXTERNAL_ID))
     order = F.struct("created_at", "seq")
     own = F.col("event_type") == "objective"
