@@ -58,3 +58,21 @@ def test_collection_sync_of_nothing(spark, tables):
     projections = spark.createDataFrame([("1", "success", "1", None)], "event_id string, status string, projected_at string, projection_ref string")
     kept, stale = sync_collection(there, none, projections, "2")
     assert kept.count() == 0 and ids(stale) == "abcde"
+
+
+def test_unscoped_documents_without_metadata_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from oracle import connect, same
+    from tidemark.plans.documents import ORACLES, unscoped_documents
+
+    tables = {
+        "documents": "SELECT range AS doc_id, 'x' AS text, 'en' AS lang, 'view' AS source FROM range(60)",
+        "labels": "SELECT range AS doc_id, 1 AS quality, 0 AS toxic FROM range(60)",
+        "events": "SELECT range AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts, range AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{}' AS props FROM range(60)",
+    }
+    for name, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet'")
+    found = unscoped_documents(spark, str(tmp_path))
+    assert found.filter("doc_id % 4 = 3").count() > 0  # stored without metadata
+    same(found, connect(str(tmp_path)), ORACLES["unscoped_documents"])
