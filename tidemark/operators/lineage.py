@@ -1,7 +1,7 @@
 """Temporal facts: which occurrence of a lineage holds when, and how retractions and conflicts change that.
 
 A lineage is (entity_id, lineage_key); its facts are ordered by the text of their effective start, then by seq. Facts
-without a lineage key never supersede each other and take no part in the window, so they don't meet in one partition.
+without a lineage key never supersede each other; in a window they are dealt by fact, so they don't meet in one partition.
 """
 
 from __future__ import annotations
@@ -26,17 +26,19 @@ def _next(*partition: str) -> Column:
 
 
 def reconcile(facts: DataFrame) -> DataFrame:
-    """facts with status, valid_to and superseded_by as they follow from base statuses; terminal rows keep theirs."""
+    """facts with status, valid_to and superseded_by as they follow from base statuses; terminal rows keep theirs.
+
+    One pass: facts with and without a key aren't made apart, as facts that are costly to make would be made twice.
+    """
     base = _ordered(facts).withColumn("__status", F.when(F.lower("status").isin(*TERMINAL), F.lower("status")).otherwise("current"))
-    keyed = base.filter("lineage_key IS NOT NULL").withColumn("__next", _next(*LINEAGE))
-    alone = base.filter("lineage_key IS NULL").withColumn("__next", F.lit(None).cast(keyed.schema["__next"].dataType))
-    rows = keyed.unionByName(alone)
+    rows = base.withColumn("__alone", F.when(F.col("lineage_key").isNull(), F.col("fact_id"))).withColumn("__next", _next(*LINEAGE, "__alone"))
+    rows = rows.withColumn("__next", F.when(F.col("lineage_key").isNotNull(), F.col("__next")))
     terminal, followed = F.col("__status").isin(*TERMINAL), F.col("__next").isNotNull()
     status = F.when(terminal, F.col("__status")).when(followed, "superseded").otherwise("current")
     valid_to = F.when(terminal, F.col("valid_to")).when(followed, F.nullif(F.col("__next.__eff"), F.lit("")))
     by = F.when(~terminal & followed, F.col("__next.fact_id"))
     out = rows.withColumn("valid_to", valid_to).withColumn("superseded_by", by).withColumn("status", status)
-    return out.drop("__ord", "__eff", "__status", "__next")
+    return out.drop("__ord", "__eff", "__status", "__alone", "__next")
 
 
 def apply_terminals(facts: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import lineage, outbox
 from tidemark.operators.identity import fact_id
-from tidemark.runtime import fresh_path
+from tidemark.runtime import fresh_path, table
 from tidemark.sources import adapters
 
 AS_OF = "2024-01-15T00:00:00.000Z"
+#: Micro-batches of stream_lineage.
+BATCHES = 4
 
 ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%g') || 'Z'"
 FACTS = f"""facts AS (SELECT event_id AS seq, 'user:' || user_id AS entity_id, event_type AS kind, CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR) AS value,
@@ -120,16 +122,15 @@ def fact_payloads(spark, sf_dir):
 
 def stream_lineage(spark, sf_dir):
     """The facts of events as a stream, stored as they come and reconciled from what is stored."""
-    from tidemark.streaming.journal_stream import lineage_stream, stored_lineages
+    from tidemark.streaming.journal_stream import files_each, lineage_stream, stored_lineages
 
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     root = fresh_path(spark, "lineage-stream")
-    batch = adapters.facts(spark, sf_dir)
+    each = files_each(table(spark, sf_dir, "events").count(), BATCHES)
+    batch = adapters.facts(spark, sf_dir, BATCHES * each)
     source = fresh_path(spark, "fact-files")
-    batch.repartition(4).write.parquet(source)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    batch.write.parquet(source)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", each).parquet(source)
     lineage_stream(stream, root, f"{root}-checkpoint").awaitTermination()
-    del schema
     return stored_lineages(spark, root, batch.schema).select(*COLUMNS)
 
 

@@ -166,13 +166,14 @@ def temporal_proximity(spark, sf_dir):
 
 def stream_capture(spark, sf_dir):
     """The journal as a stream in which each file comes twice."""
-    from tidemark.streaming.journal_stream import capture_stream
+    from tidemark.streaming.journal_stream import capture_stream, files_each
 
     batch = adapters.journal(spark, sf_dir)
+    each = files_each(table(spark, sf_dir, "conversations").count(), 3)
     source, root = fresh_path(spark, "journal-files"), fresh_path(spark, "journal-stream")
-    batch.repartition(3).write.parquet(source)
-    batch.repartition(3).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    batch.repartition(3 * each).write.parquet(source)
+    batch.repartition(3 * each).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", each).parquet(source)
     capture_stream(stream, root, f"{root}-checkpoint").awaitTermination()
     return spark.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(root).select("seq", "id")
 

@@ -12,9 +12,12 @@ from tidemark.runtime import table
 EPOCH = "2026-01-01 00:00:00"
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as fact occurrences: every 11th in conflict, every 13th of the others retracted, a day after it was said."""
+def facts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """events as fact occurrences: every 11th in conflict, every 13th of the others retracted, a day after it was said.
+    parts: events are first dealt over so many tasks."""
     e = table(spark, sf_dir, "events")
+    if parts:
+        e = e.repartition(parts, "event_id")
     at = F.date_format("ts", ISO)
     status = F.when(F.col("event_id") % 11 == 0, "conflict").when(F.col("event_id") % 13 == 0, "retracted").otherwise("current")
     rows = e.select(

@@ -10,6 +10,8 @@ An epoch that is run again, as it was not committed, writes its own folder anew;
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,13 @@ from pyspark.sql import types as T
 from tidemark.operators.lineage import reconcile
 
 BUCKETS = 64
+#: Rows of a file that a stream is fed from.
+ROWS_A_FILE = 250_000
+
+
+def files_each(rows: int, batches: int) -> int:
+    """Files of a micro-batch, so that its reading is dealt over more tasks as the input grows, and batches stay as many."""
+    return max(1, math.ceil(rows / (batches * ROWS_A_FILE)))
 
 
 def _stored(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame | None:
@@ -48,10 +57,13 @@ def capture_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "id
 
 
 def lineage_stream(stream: DataFrame, path: str, checkpoint: str):
-    """Starts a query that stores facts by bucket of lineage, each epoch in a folder of its own."""
+    """Starts a query that stores facts by bucket of lineage, each epoch in a folder of its own.
+
+    Rows are dealt by bucket first: a bucket is one file of an epoch, however many tasks read the batch.
+    """
 
     def add(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("bucket", _bucket()).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        batch.withColumn("bucket", _bucket()).repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
