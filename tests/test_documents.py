@@ -76,3 +76,26 @@ def test_unscoped_documents_without_metadata_agree_with_sql(spark, tmp_path):
     found = unscoped_documents(spark, str(tmp_path))
     assert found.filter("doc_id % 4 = 3").count() > 0  # stored without metadata
     same(found, connect(str(tmp_path)), ORACLES["unscoped_documents"])
+
+
+DAY = "TIMESTAMP '2024-01-01 00:00:00'"
+
+
+@pytest.mark.parametrize(("source", "ts", "event_id"), [("CASE WHEN range % 2 = 0 THEN 'view' END", DAY, "range"), ("'view'", f"CASE WHEN range >= 60 THEN {DAY} END", "range"), ("'view'", f"{DAY} + to_minutes(range)", "CASE WHEN range % 40 < 20 THEN range END")], ids=["source", "ts", "event_id"])
+@pytest.mark.parametrize("name", ["unscoped_documents", "document_guards"])
+def test_queries_on_nulls_agree_with_sql(spark, tmp_path, name, source, ts, event_id):
+    import duckdb
+
+    from oracle import connect, same
+    from tidemark.plans.documents import ORACLES, QUERIES
+
+    tables = {
+        "documents": f"SELECT range AS doc_id, 'x' AS text, 'en' AS lang, {source} AS source FROM range(120)",
+        "labels": "SELECT range AS doc_id, 1 AS quality, 0 AS toxic FROM range(120)",
+        "events": f"SELECT {event_id} AS event_id, {ts} AS ts, range % 20 AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value, '{{}}' AS props FROM range(120)",
+    }
+    for table, sql in tables.items():
+        duckdb.sql(f"COPY ({sql}) TO '{tmp_path}/{table}.parquet'")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.count() > 0
+    same(found, connect(str(tmp_path)), ORACLES[name])

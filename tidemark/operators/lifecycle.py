@@ -10,8 +10,8 @@ PAIR = ["superseded_event_id", "superseding_event_id"]
 
 
 def live_edges(edges: DataFrame, cancellations: DataFrame) -> DataFrame:
-    """Edges without a cancellation of the same pair."""
-    return edges.join(cancellations.select(*PAIR), PAIR, "left_anti")
+    """Edges without a cancellation of the same pair, and with a successor."""
+    return edges.filter("superseding_event_id IS NOT NULL").join(cancellations.select(*PAIR), PAIR, "left_anti")
 
 
 def superseded_ids(edges: DataFrame, cancellations: DataFrame) -> DataFrame:

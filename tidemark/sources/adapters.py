@@ -61,9 +61,9 @@ def bulk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of events: each row supersedes the one before it of the same user and type."""
+    """Of events: each row supersedes the one before it of the same user and type; rows without a time come last."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
-    before = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    before = F.lag("event_id").over(Window.partitionBy("user_id", "event_type").orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id")))
     return e.select(before.alias("superseded_event_id"), F.col("event_id").alias("superseding_event_id"), F.date_format("ts", ISO).alias("recorded_at")).filter("superseded_event_id IS NOT NULL")
 
 
